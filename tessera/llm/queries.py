@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, pii
+import public_tokenizers
+
+from tessera.llm import bpe, chat, fingerprints, mixing, pii, sharding, simhash
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +26,39 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+#: Largest number of text bytes in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return bpe.digests(bpe.decode(ids, path))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pareto_mix": op1_pareto_mix, "op2_pii": op2_pii}
+    return {
+        "op1_pareto_mix": op1_pareto_mix, "op2_pii": op2_pii, "op4_chat_snapshots": op4_chat_snapshots, "op5_simhash": op5_simhash,
+        "op7_weighted_sampling": op7_weighted_sampling, "op9_extendible_sharding": op9_extendible_sharding, "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_snapshots": chat.ORACLE, "op9_extendible_sharding": sharding.oracle(SHARD_BYTES)}
