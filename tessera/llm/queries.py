@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import bpe, chat, fingerprints, mixing, pii, sharding, simhash
+from tessera.llm import bpe, chat, fingerprints, hnsw, mixing, pii, sharding, simhash, suffix_dedup
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+    return got.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -39,6 +45,10 @@ def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: Largest number of text bytes in a shard.
 SHARD_BYTES = 1 << 20
 
@@ -55,8 +65,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_pareto_mix": op1_pareto_mix, "op2_pii": op2_pii, "op4_chat_snapshots": op4_chat_snapshots, "op5_simhash": op5_simhash,
-        "op7_weighted_sampling": op7_weighted_sampling, "op9_extendible_sharding": op9_extendible_sharding, "op10_bpe": op10_bpe,
+        "op1_pareto_mix": op1_pareto_mix, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat_snapshots": op4_chat_snapshots, "op5_simhash": op5_simhash,
+        "op7_weighted_sampling": op7_weighted_sampling, "op8_hnsw": op8_hnsw, "op9_extendible_sharding": op9_extendible_sharding, "op10_bpe": op10_bpe,
     }
 
 
