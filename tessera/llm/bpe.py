@@ -27,7 +27,7 @@ from tessera.functions.shipping import ship
 
 CACHE_CHARS = 20_000_000
 #: Rows that go back to Spark at once.
-SLICE = 256
+SLICE = 128
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -83,21 +83,19 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.chars = 0
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian int32 ids, one after the other."""
-        parts = self.cut(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, parts))
-        except KeyError:
-            pass
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian int32 ids of each text, one after the other; what the texts have anew is encoded in one call."""
+        parts = [self.cut(t) for t in texts]
         if self.chars > CACHE_CHARS:
             self.cache.clear()
             self.chars = 0
-        new = [p for p in set(parts) if p not in self.cache]
-        self.chars += sum(map(len, new)) + 32 * len(new)
-        for p, ids in zip(new, self.sp.encode([p.encode().decode("latin-1").translate(self.map) for p in new]), strict=True):
-            self.cache[p] = np.array(ids, "<i4").tobytes()
-        return b"".join(map(self.cache.__getitem__, parts))
+        new = list(set().union(*parts).difference(self.cache))
+        if new:
+            self.chars += sum(map(len, new)) + 32 * len(new)
+            mapped = [p.encode().decode("latin-1").translate(self.map) for p in new]
+            got = self.sp.encode(mapped, num_threads=1)
+            self.cache.update(zip(new, (struct.pack(f"<{len(x)}i", *x) for x in got), strict=True))
+        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                blobs = [enc.ids(t.as_py() or "") for t in part.column(text)]
+                blobs = enc.ids([t.as_py() or "" for t in part.column(text)])
                 ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(blobs))])
                 lists = pa.ListArray.from_arrays(pa.array(ends), values)
