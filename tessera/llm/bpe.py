@@ -147,3 +147,10 @@ def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> D
         "doc_id", F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.col(decoded), 256).alias("decoded_sha256"),
     )
+
+
+def checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with ids, n_tokens and decodes (whether the ids decode to the text's bytes), without the text."""
+    both = decode(encode(docs, path, pattern, text), path)
+    same = F.col("decoded") == F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return both.select(*[c for c in docs.columns if c != text], "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tessera.llm import bpe, chat, fingerprints, hnsw, mixing, pii, sharding, simhash, suffix_dedup
+from tessera.llm import bpe, chat, fingerprints, hnsw, mixing, pii, sharding, simhash, suffix_dedup, toxicity
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.classify(docs, labels)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_pareto_mix": op1_pareto_mix, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat_snapshots": op4_chat_snapshots, "op5_simhash": op5_simhash,
-        "op7_weighted_sampling": op7_weighted_sampling, "op8_hnsw": op8_hnsw, "op9_extendible_sharding": op9_extendible_sharding, "op10_bpe": op10_bpe,
+        "op6_toxicity": op6_toxicity, "op7_weighted_sampling": op7_weighted_sampling, "op8_hnsw": op8_hnsw, "op9_extendible_sharding": op9_extendible_sharding, "op10_bpe": op10_bpe,
     }
 
 
