@@ -2,8 +2,8 @@
 
 The kernel of two strings counts their common subsequences of ORDER characters, each weighted by DECAY to the power of the
 lengths that it spans in both, so gaps and inserted characters weaken a match instead of breaking it.
-Landmarks are character runs of words, chosen one after the other as those that explain most toxic training documents not yet
-explained at the least cost in clean ones, so every family of insults gets its own. A word's kernel with a landmark, over the landmark's
+Landmarks are character runs of words, chosen one after the other as those that explain most toxic training documents, the less
+explained ones first, at the least cost in clean ones, so every family of insults gets its own. A word's kernel with a landmark, over the landmark's
 own (at most 1), says how much of the landmark is in it; a landmark counts as absent from a word that lacks more
 than a fifth of its letters or of which less than WEAK is there. A document's kernel row sums over its words and also keeps the
 largest; rows are multiplied by the inverse root of the landmarks' kernel matrix (Nyström) and a linear machine with squared hinge loss,
@@ -112,9 +112,6 @@ class Model:
 
     def learn_words(self, new: list[str]) -> None:
         """Match words that were not met before with the landmarks."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.hits.clear()
         self.known.update(new)
         owner, pieces = [], []
         for w in new:
@@ -139,6 +136,9 @@ class Model:
         m = len(self.landmarks)
         out = np.zeros((len(texts), 3 * m + 1))
         split = [words_of(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.hits.clear()
         new = set().union(*split).difference(self.known) if split else set()
         if new:
             self.learn_words(list(new))
@@ -190,9 +190,10 @@ class Model:
 
 
 def choose_landmarks(texts: list[str | None], y: np.ndarray, weight: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Runs of characters, each chosen for the toxic texts without one so far that have it, less the clean ones that have it.
+    """Runs of characters, each chosen for the toxic texts that have it, less the clean ones that have it.
 
-    Runs must be in at least three toxic texts and be twice as frequent there as in clean ones.
+    A text counts half as much for each run chosen so far that it has; runs that share SHORT characters with a chosen one are
+    left out. Runs must be in at least three toxic texts and be twice as frequent there as in clean ones.
     """
     toxic: dict[str, list[int]] = defaultdict(list)
     good = [i for i in range(len(y)) if y[i]]
@@ -207,15 +208,18 @@ def choose_landmarks(texts: list[str | None], y: np.ndarray, weight: np.ndarray,
             clean.update({g for w in {_JUNK.sub("", w) for w in words_of(texts[i])} for n in range(SHORT, LONG + 1) for a in range(len(w) - n + 1) if (g := w[a : a + n]) in toxic})
     n1, n0 = max(1, len(good)), max(1, len(y) - len(good))
     rate0 = {g: clean[g] / n0 for g in toxic}
-    open_ = {g: set(x) for g, x in toxic.items() if len(x) / n1 > 2 * rate0[g] + 0.002}
-    left = set(good)
+    left = {g: np.array(x) for g, x in toxic.items() if len(x) / n1 > 2 * rate0[g] + 0.002}
+    open_ = np.ones(len(y))
     chosen: list[str] = []
-    while open_ and len(chosen) < most:
-        best = max(open_, key=lambda g: ((len(open_[g] & left)) / n1 - 3 * rate0[g], len(g), g))
-        if len(open_[best] & left) / n1 - 3 * rate0[best] < floor / n1:
+    while left and len(chosen) < most:
+        gain = {g: open_[x].sum() / n1 - 3 * rate0[g] for g, x in left.items()}
+        best = max(left, key=lambda g: (gain[g], len(g), g))
+        if gain[best] < floor / n1:
             break
         chosen.append(best)
-        left -= open_.pop(best)
+        open_[left[best]] /= 2
+        kin = {best[a : a + SHORT] for a in range(len(best) - SHORT + 1)}
+        left = {g: x for g, x in left.items() if kin.isdisjoint(g[a : a + SHORT] for a in range(len(g) - SHORT + 1))}
     return chosen
 
 
