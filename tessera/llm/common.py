@@ -1,13 +1,14 @@
-"""Helpers that the operators share: durable intermediate tables, words, Arrow batches."""
+"""Helpers that the operators share: tables, words, durable intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.durable import durable, forget, shared_dir
+
+__all__ = ["WORD", "durable", "forget", "partitions_for", "shared_dir", "table", "text_or_empty", "word_count"]
+
 #: A word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,44 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: what spark.checkpoint.dir names; a local one only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-", dir=_scratch()))
-    return sc.getCheckpointDir()
-
-
-def _scratch() -> str:
-    import os
-
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "/tmp/checkpoints"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage as checkpoint() does, but compressed and with column pruning; lost executors don't
-    matter. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a durable() table that nothing will read again."""
-    spark = df.sparkSession
-    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
