@@ -3,7 +3,9 @@
 Terms are words, weights their counts. For sample j and term k: r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from a hash of
 (k, j); t = floor(ln(weight) / r + b), ln a = ln c - r (t - b + 1); the term with the least a, together with its t, is
 the sample. Two texts share a sample with a probability equal to their generalised Jaccard similarity, the sum of
-minima over the sum of maxima of weights, so the share of equal samples estimates it.
+minima over the sum of maxima of weights, so the share of equal samples estimates it. c is drawn for each sample, r and b for
+SHARE samples of a term at once: each sample's law is the same as with draws of its own, and as a text's terms draw
+independently, its samples are all but independent too. a itself is compared, so a sample costs one logarithm.
 
 All of it is built-in functions. Each sample's a and identity are packed into one long, so a fingerprint is SAMPLES
 plain minima; texts are shuffled by document once, and counting terms and taking minima then need no other shuffle. A sample keeps 16 bits of its identity: 1 in 65,536 pairs of unequal samples look equal.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, durable, text_or_empty
 
 SAMPLES = 64
+#: Samples of a term that share r and b.
+SHARE = 8
 #: Documents a range of ids should hold; the ranges' limits are at most MAX_RANGES numbers.
 RANGE_ROWS, MAX_RANGES = 50_000, 4096
 #: Stands for a null doc_id, and for the samples of a text without words.
@@ -41,23 +45,30 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << bits))
 
 
-def sample(term: Column, log_weight: Column, salt: int) -> Column:
-    """One long per term whose minimum is the sample: ln a on top, 16 bits of (term, t) below."""
+def scales(term: Column, log_weight: Column, salt: int) -> tuple[Column, Column]:
+    """(t, y e^r inverted) of a term: t as it is sampled, and what c is multiplied with to get a."""
     h = F.xxhash64(term.bitwiseXOR(F.lit(salt)))
-    r = -F.ln(_unit(h, 0, 12) * _unit(h, 12, 12))
-    log_c = F.ln(-F.ln(_unit(h, 24, 14) * _unit(h, 38, 14)))
-    b = _unit(h, 52, 12)
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + F.lit(1.0))
-    return F.shiftleft(((log_a + F.lit(100.0)) * F.lit(float(1 << 36))).cast("long"), 16).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))
+    r = -F.ln(_unit(h, 0, 20) * _unit(h, 20, 20))
+    b = _unit(h, 40, 24)
+    t = F.when(log_weight > 0, (log_weight / r + b).cast("long")).otherwise(F.lit(0).cast("long"))
+    return t, F.exp(r * (b - t - F.lit(1.0)))
+
+
+def sample(term: Column, t: Column, scale: Column, salt: int) -> Column:
+    """One long per term whose minimum is the sample: a on top, in 46 bits (4 and more are one), 16 bits of (term, t) below."""
+    h = F.xxhash64(term.bitwiseXOR(F.lit(salt)))
+    a = -F.ln(_unit(h, 16, 24) * _unit(h, 40, 24)) * scale
+    return F.shiftleft((F.least(a, F.lit(3.999)) * F.lit(float(1 << 44))).cast("long"), 16).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(keys, sig): array<short> of samples for each text that has words. texts should be partitioned by keys."""
     words = texts.select(*keys, F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
-    counts = counts.select(*keys, "term", F.ln(F.col("n").cast("double")).alias("l"))
-    least = counts.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("l"), s)).alias(f"m{i}") for i, s in enumerate(_salts(samples))])
+    salts = _salts(samples + -(-samples // SHARE))
+    drawn = [scales(F.col("term"), F.ln(F.col("n").cast("double")), s) for s in salts[samples:]]
+    counts = counts.select(*keys, "term", *[c.alias(f"{k}{i}") for i, pair in enumerate(drawn) for k, c in zip("te", pair)])
+    least = counts.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col(f"t{i // SHARE}"), F.col(f"e{i // SHARE}"), s)).alias(f"m{i}") for i, s in enumerate(salts[:samples])])
     return least.select(*keys, F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(samples)]).alias("sig"))
 
 

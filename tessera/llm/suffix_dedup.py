@@ -428,7 +428,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                     g = good[s : s + RUN_KEYS]
                     t, a = text[g], at[g]
                     keys = np.zeros((len(g), KEY), np.uint8)
-                    keys[:, :HEAD] = gram[g].astype(">u8").view(np.uint8).reshape(-1, 8)
+                    # anchors have low hashes; multiplied, they fill the range evenly
+                    keys[:, :HEAD] = (gram[g] * _M).astype(">u8").view(np.uint8).reshape(-1, 8)
                     onward = a[:, None] + np.arange(LENGTH)
                     keys[:, HEAD : HEAD + LENGTH] = np.where(onward < ends[t][:, None], chunk[np.minimum(onward, len(chunk) - 1)], 0)
                     back = a[:, None] - 1 - np.arange(BEFORE)
