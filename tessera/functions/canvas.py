@@ -66,7 +66,7 @@ class Axis:
         """Pixel of a line's or area's vertex: only the upper end itself is moved into the last pixel."""
         end = round(self.number(self.range[1]) * self.scale + self.shift)
         at = self.place(v).cast("int")
-        return F.when(at == end, at - 1).otherwise(at)
+        return at - (at == end).cast("int")
 
     def centre(self, v: Column) -> Column:
         """Position relative to pixel centres."""

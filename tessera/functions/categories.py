@@ -16,7 +16,7 @@ class Categories:
     values: tuple = ()
 
     def code(self) -> Column:
-        return F.array_position(F.array(*[F.lit(v) for v in self.values]), F.col(self.column)) - 1
+        return F.nullif(F.array_position(F.array(*[F.lit(v) for v in self.values]), F.col(self.column)), F.lit(0)) - 1
 
     def layers(self) -> list:
         return list(self.values)

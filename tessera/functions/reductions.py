@@ -8,6 +8,7 @@ ORDER, never the order of partitions. The n-fold ones rank with a window, which
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ class Reduction:
     column: str | None = None
 
     #: Whether ORDER must exist; the value of a pixel that no row reaches.
-    ordered = False
-    empty: object = None
+    ordered: ClassVar[bool] = False
+    empty: ClassVar[object] = None
 
     @property
     def v(self) -> Column:

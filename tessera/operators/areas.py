@@ -27,17 +27,13 @@ def _clamped(a: Column, b: Column, top: int, stacked: bool) -> tuple[Column, Col
 
 def fill(traps: DataFrame, canvas: Canvas, stacked: bool) -> DataFrame:
     """A row for each pixel of trapezoids (x0, x1, top0, low0, top1, low1, start): columns along x, filled between two Bresenham edges in closed form."""
-    xa, xb = (F.lit(float(v)) for v in canvas.x.range)
     ya, yb = (F.lit(float(v)) for v in canvas.y.range)
     edges = ["top0", "low0", "top1", "low1"]
     out = traps
     for c in ("x0", "x1", *edges):
         out = out.where(known(F.col(c)).isNotNull())
-    out = out.where(~(F.least(*edges) > yb) & ~(F.greatest(*edges) < ya)).withColumns({"_t0": F.lit(0.0), "_t1": F.lit(1.0)})
-    dx = F.col("x1") - F.col("x0")
-    for p, q in ((-dx, F.col("x0") - xa), (dx, xb - F.col("x0"))):
-        t0, t1, keep = S.clip_step(p, q, F.col("_t0"), F.col("_t1"))
-        out = out.where(keep).withColumns({"_t0": t0, "_t1": t1})
+    t0, t1, level = S.clip_span((F.col("x0"), F.col("x1") - F.col("x0"), canvas.x.range))
+    out = out.where(~(F.least(*edges) > yb) & ~(F.greatest(*edges) < ya) & level).withColumns({"_t0": t0, "_t1": t1}).where("_t0 <= _t1")
     at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
     late, early = F.col("_t0") > 0, F.col("_t1") < 1
     pairs = (("x0", "x1"), ("top0", "top1"), ("low0", "low1"))
@@ -49,7 +45,7 @@ def fill(traps: DataFrame, canvas: Canvas, stacked: bool) -> DataFrame:
     first = F.when(F.col("start") | F.col("cut0"), 0).otherwise(1)
     # a segment without width has its far edge as one more column, unless it was cut
     last = F.when((run == 0) & ~(F.col("cut0") | F.col("cut1")), 1).otherwise(run)
-    out = out.withColumns({"_run": run, "_k0": first.cast("long"), "_k1": last.cast("long")}).where("_k0 <= _k1").withColumn("_k", F.explode(F.sequence("_k0", "_k1")))
+    out = out.withColumns({"_run": run, "_k0": first.cast("long"), "_k1": last.cast("long")}).withColumn("_k", F.explode(F.when(F.col("_k0") <= F.col("_k1"), F.sequence("_k0", "_k1"))))
     back = F.col("_x1") < F.col("_x0")
 
     def edge(a: str, b: str) -> Column:

@@ -24,8 +24,8 @@ def walk(segs: DataFrame, canvas: Canvas) -> DataFrame:
     sx, sy = F.signum(F.col("_x1") - F.col("_x0")).cast("long"), F.signum(F.col("_y1") - F.col("_y0")).cast("long")
     dot = ~(F.col("cut_start") | F.col("cut_end")) & (major == 0)
     first = F.when(F.col("start") | F.col("cut_start") | dot, 0).otherwise(1).cast("long")
-    at = at.withColumns({"_steep": steep, "_major": major, "_minor": minor, "_sx": sx, "_sy": sy, "_k0": first}).where("_k0 <= _major")
-    at = at.withColumn("_k", F.explode(F.sequence("_k0", "_major")))
+    at = at.withColumns({"_steep": steep, "_major": major, "_minor": minor, "_sx": sx, "_sy": sy, "_k0": first})
+    at = at.withColumn("_k", F.explode(F.when(F.col("_k0") <= F.col("_major"), F.sequence("_k0", "_major"))))
     m = S.offset(F.col("_minor"), F.col("_k"), F.col("_major"), F.when(F.col("_steep"), F.col("_sy")).otherwise(F.col("_sx")) < 0)
     px = F.col("_x0") + F.col("_sx") * F.when(F.col("_steep"), m).otherwise(F.col("_k"))
     py = F.col("_y0") + F.col("_sy") * F.when(F.col("_steep"), F.col("_k")).otherwise(m)
@@ -50,7 +50,7 @@ def coverage(segs: DataFrame, canvas: Canvas, width: float, overwrite: bool) ->
     at = at.withColumns({"joined": joined, "wx": (F.col("ax") - F.col("mx")) / plen, "wy": (F.col("ay") - F.col("my")) / plen})
     for axis, lo, hi, size in (("px", F.least("ax", "bx"), F.greatest("ax", "bx"), canvas.plot_width), ("py", F.least("ay", "by"), F.greatest("ay", "by"), canvas.plot_height)):
         a, b = F.greatest(F.ceil(lo - 2 * half), F.lit(0)).cast("int"), F.least(F.floor(hi + 2 * half), F.lit(size - 1)).cast("int")
-        at = at.withColumns({"_a": a, "_b": b}).where("_a <= _b").withColumn(axis, F.explode(F.sequence("_a", "_b")))
+        at = at.withColumns({"_a": a, "_b": b}).withColumn(axis, F.explode(F.when(F.col("_a") <= F.col("_b"), F.sequence("_a", "_b"))))
     rx, ry = F.col("px") - F.col("ax"), F.col("py") - F.col("ay")
     along, across = rx * F.col("ux") + ry * F.col("uy"), F.abs(rx * F.col("uy") - ry * F.col("ux"))
     before, prev_across = rx * F.col("wx") + ry * F.col("wy"), F.abs(rx * F.col("wy") - ry * F.col("wx"))

@@ -51,7 +51,11 @@ def polygons(source: DataFrame, canvas: Canvas, geometry: str, agg: R.Reduction
     deep = dict(source.dtypes)[geometry].count("array<") == 3
     parts = source.withColumn("_rings", F.explode(geometry) if deep else F.col(geometry))
     points = F.flatten("_rings")
-    box = {f"_{c}{k}": f(F.transform(points, lambda p, c=c: p[c].cast("double"))) for c in "xy" for k, f in (("a", F.array_min), ("b", F.array_max))}
+
+    def coordinates(c: str) -> Column:
+        return F.transform(points, lambda p: p[c].cast("double"))
+
+    box = {f"_{c}{k}": f(coordinates(c)) for c in "xy" for k, f in (("a", F.array_min), ("b", F.array_max))}
     parts = parts.withColumns(box)
     canvas = canvas.fitted(parts, [F.col("_xa"), F.col("_xb")], [F.col("_ya"), F.col("_yb")])
     (xa, xb), (ya, yb) = ([F.lit(float(v)) for v in r] for r in (canvas.x.range, canvas.y.range))

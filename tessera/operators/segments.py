@@ -67,12 +67,18 @@ def shared(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def clip_step(p: Column, q: Column, t0: Column, t1: Column) -> tuple[Column, Column, Column]:
-    """One side of a Liang-Barsky clip: new t0 and t1, and whether anything stays."""
-    r = q / F.nullif(p, F.lit(0.0))
-    enter, leave = (p < 0) & (q < 0), (p > 0) & (q < p)
-    keep = F.when(enter, r <= t1).when(leave, r >= t0).otherwise(q >= 0)
-    return F.when(enter & (r <= t1) & (r > t0), r).otherwise(t0), F.when(leave & (r >= t0) & (r < t1), r).otherwise(t1), keep
+def clip_span(*axes: tuple[Column, Column, tuple[float, float]]) -> tuple[Column, Column, Column]:
+    """Liang-Barsky for (start, change, range) of each axis: where the line enters and leaves (0 and 1 where it isn't cut), and whether level ones are inside.
+
+    In closed form, as steps that build on each other would multiply once Spark pushes filters through them.
+    """
+    enter, leave, level = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for start, change, (lo, hi) in axes:
+        low, high = (F.lit(float(lo)) - start) / F.nullif(change, F.lit(0.0)), (F.lit(float(hi)) - start) / F.nullif(change, F.lit(0.0))
+        enter.append(F.when(change > 0, low).when(change < 0, high))
+        leave.append(F.when(change > 0, high).when(change < 0, low))
+        level = level & ((change != 0) | start.between(F.lit(float(lo)), F.lit(float(hi))))
+    return F.greatest(*enter), F.least(*leave), level
 
 
 def clipped(segs: DataFrame, x_range: tuple[float, float], y_range: tuple[float, float]) -> DataFrame:
@@ -81,11 +87,9 @@ def clipped(segs: DataFrame, x_range: tuple[float, float], y_range: tuple[float,
     x0, y0, x1, y1 = (F.col(c) for c in NAMES[:4])
     out = segs.where(~_gap(x0, y0) & ~_gap(x1, y1))
     out = out.where(~((x0 < xa) & (x1 < xa)) & ~((x0 > xb) & (x1 > xb)) & ~((y0 < ya) & (y1 < ya)) & ~((y0 > yb) & (y1 > yb)))
-    out = out.withColumn("_t0", F.lit(0.0)).withColumn("_t1", F.lit(1.0))
     dx, dy = x1 - x0, y1 - y0
-    for p, q in ((-dx, x0 - xa), (dx, xb - x0), (-dy, y0 - ya), (dy, yb - y0)):
-        t0, t1, keep = clip_step(p, q, F.col("_t0"), F.col("_t1"))
-        out = out.where(keep).withColumns({"_t0": t0, "_t1": t1})
+    t0, t1, level = clip_span((x0, dx, x_range), (y0, dy, y_range))
+    out = out.where(level).withColumns({"_t0": t0, "_t1": t1}).where("_t0 <= _t1")
     late, early = F.col("_t0") > 0, F.col("_t1") < 1
     return out.withColumns({
         "x1": F.when(early, x0 + F.col("_t1") * dx).otherwise(x1), "y1": F.when(early, y0 + F.col("_t1") * dy).otherwise(y1),
