@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -22,7 +22,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
