@@ -14,12 +14,14 @@ whole. Workers remember words (emptied beyond CACHE_WORDS, which changes only ti
 
 Defined cases: null and empty texts score like texts without words; a null doc_id is held in or out as an empty string;
 null labels don't train; a repeated label row counts once, toxic if any is; without both classes the score is
-the share of toxic labels; repeated rows get equal scores; other columns pass through.
+the share of toxic labels; repeated rows get equal scores; an empty table gives an empty result; other columns pass through,
+but those named like the ones that are added are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,11 +33,13 @@ from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
 
-SAMPLE, LANDMARKS = 2500, 40
-ORDER, DECAY, WEAK = 3, 0.6, 0.4
+SAMPLE, LANDMARKS, RARE = 2500, 40, 50
+ORDER, DECAY, WEAK, STRONG = 3, 0.6, 0.4, 0.9
 #: Lengths of landmarks; words are looked at in windows of so many characters, each overlapping the next by half.
 SHORT, LONG, WINDOW = 4, 8, 24
 CACHE_WORDS = 400_000
+#: Stands before every word, so that landmarks can tell a word's head; how many words of a text should have a landmark.
+START, LEVELS = "^", (1, 3)
 _JUNK = re.compile(r"[\W_]+")
 
 
@@ -115,8 +119,8 @@ class Model:
         self.known.update(new)
         owner, pieces = [], []
         for w in new:
-            clean = _JUNK.sub("", w)
-            if len(clean) >= ORDER:
+            clean = START + _JUNK.sub("", w)
+            if len(clean) > ORDER:
                 for at in range(0, max(1, len(clean) - WINDOW // 2), WINDOW // 2):
                     owner.append(w)
                     pieces.append(clean[at : at + WINDOW])
@@ -132,9 +136,9 @@ class Model:
                 self.hits.setdefault(owner[r[k]], []).append((int(z[k]), float(c[k])))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: per landmark the log of the summed matches and the largest, then their density, then the length."""
+        """A row for each text: per landmark the log of the summed matches, the largest, their density and how many words match strongly, then the length."""
         m = len(self.landmarks)
-        out = np.zeros((len(texts), 3 * m + 1))
+        out = np.zeros((len(texts), 4 * m + 1))
         split = [words_of(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
@@ -145,14 +149,16 @@ class Model:
         for i, words in enumerate(split):
             some = self.hits.keys() & set(words)
             if some:
-                total, largest = np.zeros(m), np.zeros(m)
+                total, largest, strong = np.zeros(m), np.zeros(m), np.zeros(m)
                 for w, n in Counter(w for w in words if w in some).items():
                     for z, c in self.hits[w]:
                         total[z] += n * (c - WEAK) / (1 - WEAK)
                         largest[z] = max(largest[z], c)
+                        strong[z] += c >= STRONG
                 out[i, :m] = self.root @ np.log1p(total)
                 out[i, m : 2 * m] = largest
                 out[i, 2 * m : 3 * m] = self.root @ np.log1p(1000 * total / len(words))
+                out[i, 3 * m : 4 * m] = np.log1p(strong)
             out[i, -1] = np.log1p(len(words)) / 10
         return out
 
@@ -189,37 +195,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -30, 30)))
 
 
-def choose_landmarks(texts: list[str | None], y: np.ndarray, weight: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Runs of characters, each chosen for the toxic texts that have it, less the clean ones that have it.
+def choose_landmarks(texts: list[str | None], y: np.ndarray, most: int = LANDMARKS) -> list[str]:
+    """Runs of characters, each chosen for the toxic texts that have it in one word, or in three, less the clean ones that do.
 
     A text counts half as much for each run chosen so far that it has; runs that share SHORT characters with a chosen one are
-    left out. Runs must be in at least three toxic texts and be twice as frequent there as in clean ones.
+    left out. Runs must be in three toxic texts and in one of RARE at least, and be twice as frequent there as in clean ones.
     """
-    toxic: dict[str, list[int]] = defaultdict(list)
+    def runs(text: str | None) -> Counter[str]:
+        """How many different words have each run."""
+        found = {START + _JUNK.sub("", w) for w in words_of(text)}
+        return Counter(g for w in found for g in {w[a : a + n] for n in range(SHORT, LONG + 1) for a in range(len(w) - n + 1)})
+
     good = [i for i in range(len(y)) if y[i]]
+    n1, n0 = max(1, len(good)), max(1, len(y) - len(good))
+    floor = max(3, len(good) // RARE)
+    toxic: dict[tuple[str, int], list[int]] = defaultdict(list)
     for i in good:
-        for g in {w[a : a + n] for w in {_JUNK.sub("", w) for w in words_of(texts[i])} for n in range(SHORT, LONG + 1) for a in range(len(w) - n + 1)}:
-            toxic[g].append(i)
-    floor = max(3, len(good) // 200)
-    toxic = {g: x for g, x in toxic.items() if len(x) >= floor}
-    clean: Counter[str] = Counter()
+        for g, n in runs(texts[i]).items():
+            for level in LEVELS:
+                if n >= level:
+                    toxic[g, level].append(i)
+    toxic = {k: x for k, x in toxic.items() if len(x) >= floor}
+    names = {g for g, _ in toxic}
+    clean: Counter[tuple[str, int]] = Counter()
     for i in range(len(y)):
         if not y[i]:
-            clean.update({g for w in {_JUNK.sub("", w) for w in words_of(texts[i])} for n in range(SHORT, LONG + 1) for a in range(len(w) - n + 1) if (g := w[a : a + n]) in toxic})
-    n1, n0 = max(1, len(good)), max(1, len(y) - len(good))
-    rate0 = {g: clean[g] / n0 for g in toxic}
-    left = {g: np.array(x) for g, x in toxic.items() if len(x) / n1 > 2 * rate0[g] + 0.002}
+            clean.update((g, level) for g, n in runs(texts[i]).items() if g in names for level in LEVELS if n >= level)
+    rate0 = {k: clean[k] / n0 for k in toxic}
+    left = {k: np.array(x) for k, x in toxic.items() if len(x) / n1 > 2 * rate0[k] + 0.002}
     open_ = np.ones(len(y))
     chosen: list[str] = []
     while left and len(chosen) < most:
-        gain = {g: open_[x].sum() / n1 - 3 * rate0[g] for g, x in left.items()}
-        best = max(left, key=lambda g: (gain[g], len(g), g))
+        gain = {k: open_[x].sum() / n1 - 3 * rate0[k] for k, x in left.items()}
+        best = max(left, key=lambda k: (gain[k], len(k[0]), k))
         if gain[best] < floor / n1:
             break
-        chosen.append(best)
+        chosen.append(best[0])
         open_[left[best]] /= 2
-        kin = {best[a : a + SHORT] for a in range(len(best) - SHORT + 1)}
-        left = {g: x for g, x in left.items() if kin.isdisjoint(g[a : a + SHORT] for a in range(len(g) - SHORT + 1))}
+        kin = {best[0][a : a + SHORT] for a in range(len(best[0]) - SHORT + 1)}
+        left = {k: x for k, x in left.items() if kin.isdisjoint(k[0][a : a + SHORT] for a in range(len(k[0]) - SHORT + 1))}
     return chosen
 
 
@@ -229,6 +243,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def gist(text: str | None) -> int:
+    """The least hash of a text's three-word shingles: equal for copies and, as a rule, for near copies."""
+    words = (text or "").split()
+    return min(zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of each class out of the rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -242,10 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = [there.where(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))  # 2 x sample rows at most
     rows = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # copies of one text would make anything in it look like an insult
+    rows = list({(r["toxic"], gist(r["text"])): r for r in reversed(rows)}.values())
     texts, y = [r["text"] for r in rows], np.array([r["toxic"] for r in rows])
     share = {k: counts[k] / max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    model = Model(choose_landmarks(texts, y, weight), prior)
+    model = Model(choose_landmarks(texts, y), prior)
     if model.landmarks:
         model.fit(np.concatenate([model.features(texts[i : i + 256]) for i in range(0, len(texts), 256)]), y, weight)
     return model
@@ -267,6 +289,6 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with score (double) and predicted (int, 1 where score >= 0.5)."""
-    return score(docs, train(docs, labels, sample)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, into: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with a score (double) and a prediction (int, 1 where the score is 0.5 or more)."""
+    return score(docs, train(docs, labels, sample), into).withColumn(predicted, (F.col(into) >= 0.5).cast("int"))
