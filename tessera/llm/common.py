@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.durable import durable, forget, shared_dir
 
-__all__ = ["WORD", "durable", "forget", "partitions_for", "shared_dir", "table", "text_or_empty", "word_count"]
+__all__ = ["WORD", "durable", "forget", "fresh", "partitions_for", "shared_dir", "table", "text_or_empty", "word_count"]
 
 #: A word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,5 +26,16 @@ def word_count(c: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df needs."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

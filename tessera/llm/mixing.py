@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, word_count
+from tessera.llm.common import durable, fresh, word_count
 
 RANK_BINS = 4096
 #: Largest factor by which a document's size tilts its inclusion odds.
@@ -111,10 +111,11 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, se
 
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is drawn, none where it isn't. Identical rows are pooled."""
-    keys = [F.col("doc_id").alias("_doc"), F.coalesce(F.col("source"), F.lit("")).alias("_src"), F.col("source").isNull().alias("_none"), F.xxhash64("text").alias("_key")]
-    names = ["_doc", "_src", "_none", "_key"]
-    want = draw(docs, **options).where("copies > 0").select("copies", *[k if i < 3 else F.col("_key") for i, k in enumerate(keys)]).groupBy(*names).agg(F.sum("copies").alias("_copies"))
-    kept = docs.select("*", *keys).dropDuplicates(names)
+    *names, copies, copy = fresh(docs, "_doc", "_src", "_none", "_text", "_copies", "_copy")
+    keys = [F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()]
+    named = lambda last: [k.alias(n) for k, n in zip([*keys, last], names, strict=True)]
+    want = draw(docs, **options).where("copies > 0").select("copies", *named(F.col("_key"))).groupBy(*names).agg(F.sum("copies").alias(copies))
+    kept = docs.select("*", *named(F.xxhash64("text"))).dropDuplicates(names)
     on = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
     joined = kept.alias("l").join(want.alias("r"), on[0] & on[1] & on[2] & on[3])
-    return joined.select(*[f"l.`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*[f"l.`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)

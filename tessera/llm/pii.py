@@ -7,7 +7,8 @@ The patterns below equal the plain ones of the base kinds, but are possessive an
 run of their characters, so that long unbroken runs cost linear time and no recursion.
 
 Defined cases: null text is empty and has no spans; equal starts go by kind as listed; repeated rows give equal
-rows; texts of any length are read whole; offsets are code points, end exclusive.
+rows; texts of any length are read whole; offsets are code points, end exclusive; an empty table gives an empty result;
+other columns pass through, but one named like the column that `detect` adds is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import fresh, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -117,6 +118,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans become one. Null stays null."""
     t = F.col(text)
+    (spans,) = fresh(docs, "_spans")
 
     def step(acc: Column, s: Column) -> Column:
         over = s["start"] < acc["at"]
@@ -124,5 +126,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(over, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return detect(docs, text, "_spans").withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(t)).drop("_spans")
+    done = F.aggregate(F.col(spans), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    return detect(docs, text, spans).withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t)).drop(spans)

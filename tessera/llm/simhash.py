@@ -11,7 +11,7 @@ grow in proportion to distinct fingerprints.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle needs
 form one shingle; ties go to the smallest doc_id; repeated rows share fingerprint and component; null doc_ids are
-kept, and a component of nothing else has a null id.
+kept, and a component of nothing else has a null id; an empty table gives an empty result; `keep_first` passes other columns on.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
-from tessera.llm.common import durable, partitions_for
+from tessera.llm.common import durable, fresh, partitions_for
 from tessera.llm.components import components
 
 FANOUT = 8
@@ -52,16 +52,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp) for each row: the text's hash, and the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -196,20 +196,27 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text)."""
+def labelled(docs: DataFrame, shingle: int, limit: int) -> DataFrame:
+    """(doc_id, h, fp, component_id, root) for each row of docs(doc_id, text); h is the text's hash, root the component's least fingerprint."""
     each = durable(fingerprints(docs, shingle))
     nodes = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), limit))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = durable(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return each.join(label, "fp").select("doc_id", "fp", "component_id")
+    return each.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs(doc_id, text)."""
+    return labelled(docs, shingle, limit).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
-    """docs without near-duplicates: the smallest doc_id of each component stays, once; of null doc_ids one stays."""
-    kept = near_duplicates(docs, shingle, limit).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without near-duplicates: of each component one row stays, of the smallest doc_id (null last), then text hash."""
+    kept_id, kept_h, h = fresh(docs, "_id", "_h", "_own")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("s")
+    kept = labelled(docs, shingle, limit).groupBy("root").agg(first).select(F.col("s.id").alias(kept_id), F.col("s.h").alias(kept_h))
+    own = docs.withColumn(h, F.xxhash64("text"))
+    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
+    return stay.dropDuplicates(["doc_id", h]).select(*[f"`{c}`" for c in docs.columns])
