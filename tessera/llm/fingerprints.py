@@ -27,7 +27,7 @@ from tessera.llm.common import WORD, durable, text_or_empty
 
 SAMPLES = 64
 #: Samples of a term that share r and b.
-SHARE = 8
+SHARE = 4
 #: Documents a range of ids should hold; the ranges' limits are at most MAX_RANGES numbers.
 RANGE_ROWS, MAX_RANGES = 50_000, 4096
 #: Stands for a null doc_id, and for the samples of a text without words.
@@ -45,31 +45,31 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << bits))
 
 
-def scales(term: Column, log_weight: Column, salt: int) -> tuple[Column, Column]:
-    """(t, y e^r inverted) of a term: t as it is sampled, and what c is multiplied with to get a."""
-    h = F.xxhash64(term.bitwiseXOR(F.lit(salt)))
-    r = -F.ln(_unit(h, 0, 20) * _unit(h, 20, 20))
-    b = _unit(h, 40, 24)
-    t = F.when(log_weight > 0, (log_weight / r + b).cast("long")).otherwise(F.lit(0).cast("long"))
-    return t, F.exp(r * (b - t - F.lit(1.0)))
-
-
-def sample(term: Column, t: Column, scale: Column, salt: int) -> Column:
+def sample(base: Column, t: Column, scale: Column, salt: int) -> Column:
     """One long per term whose minimum is the sample: a on top, in 46 bits (4 and more are one), 16 bits of (term, t) below."""
-    h = F.xxhash64(term.bitwiseXOR(F.lit(salt)))
+    h = F.xxhash64(base.bitwiseXOR(F.lit(salt)))
     a = -F.ln(_unit(h, 16, 24) * _unit(h, 40, 24)) * scale
     return F.shiftleft((F.least(a, F.lit(3.999)) * F.lit(float(1 << 44))).cast("long"), 16).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(keys, sig): array<short> of samples for each text that has words. texts should be partitioned by keys."""
-    words = texts.select(*keys, F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
-    salts = _salts(samples + -(-samples // SHARE))
-    drawn = [scales(F.col("term"), F.ln(F.col("n").cast("double")), s) for s in salts[samples:]]
-    counts = counts.select(*keys, "term", *[c.alias(f"{k}{i}") for i, pair in enumerate(drawn) for k, c in zip("te", pair)])
-    least = counts.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col(f"t{i // SHARE}"), F.col(f"e{i // SHARE}"), s)).alias(f"m{i}") for i, s in enumerate(salts[:samples])])
-    return least.select(*keys, F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(samples)]).alias("sig"))
+    """(keys, sig): array<short> of samples for each text that has words. texts should be partitioned by keys; a column `copies` says how often each is there.
+
+    A term has a row for each SHARE samples, so that the code for a row stays small enough for the JVM to compile it.
+    """
+    copies = F.col("copies") if "copies" in texts.columns else F.lit(1)
+    words = texts.select(*keys, copies.alias("copies"), F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    counts = words.groupBy(*keys, "copies", F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
+    groups = F.explode(F.array(*[F.lit(g) for g in range(samples // SHARE)]))
+    rows = counts.select(*keys, F.ln(F.col("n") / F.col("copies")).alias("lw"), "term", groups.alias("g")).withColumn("base", F.xxhash64("term", "g"))
+    h = F.col("base")
+    rows = rows.withColumns({"r": -F.ln(_unit(h, 0, 20) * _unit(h, 20, 20)), "b": _unit(h, 40, 24)})
+    t = F.when(F.col("lw") > 0, (F.col("lw") / F.col("r") + F.col("b")).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("t", t).withColumn("scale", F.exp(F.col("r") * (F.col("b") - F.col("t") - F.lit(1.0))))
+    least = rows.groupBy(*keys, "g").agg(*[F.min(sample(h, F.col("t"), F.col("scale"), s)).alias(f"m{i}") for i, s in enumerate(_salts(SHARE))])
+    part = F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(SHARE)])
+    every = F.sort_array(F.collect_list(F.struct("g", part.alias("part"))))
+    return least.groupBy(*keys).agg(every.alias("_parts")).select(*keys, F.flatten(F.col("_parts.part")).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,37 +108,43 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(d, h, text, edited) for each row, partitioned by (d, h), and (id, h, next_id, next_h) for each distinct (d, h).
+    """(d, h, copies, text, edited) for each row, partitioned by (d, h), and (id, h, n, copies, next_id, next_h) for each distinct (d, h).
 
     d is doc_id with NO_ID for null, h the text's hash. edited has the last floor(n/2) code points replaced by the
     first as many (or all) of the next document. Texts are shuffled once: both joins read the same exchange.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_or_empty("text").alias("text")).withColumn("h", F.xxhash64("text"))
-    slim = durable(texts.select(F.col("d").alias("id"), "h", F.length("text").cast("long").alias("n")).distinct())
-    order = durable(successors(slim))
-    give = order.select(F.col("next_id").alias("d"), F.col("next_h").alias("h"), F.col("id").alias("to_d"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    pieces = texts.join(give.hint("merge"), ["d", "h"]).select(F.col("to_d").alias("d"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("piece"))
-    pieces = pieces.groupBy("d", "h").agg(F.max("piece").alias("piece"))
+    slim = texts.select(F.col("d").alias("id"), "h", F.length("text").cast("long").alias("n")).groupBy("id", "h", "n").agg(F.count("*").alias("copies"))
+    order = durable(successors(durable(slim)))
+    give = order.select(
+        F.col("next_id").alias("d"), F.col("next_h").alias("h"), F.col("id").alias("to_d"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("need"), "copies"
+    )
+    pieces = texts.join(give.hint("merge"), ["d", "h"]).select(F.col("to_d").alias("d"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("piece"), "copies")
+    pieces = pieces.groupBy("d", "h").agg(F.max("piece").alias("piece"), F.max("copies").alias("copies"))
     full = texts.join(pieces.hint("merge"), ["d", "h"])
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), F.col("piece"))
-    return full.select("d", "h", "text", edited.alias("edited")), order
+    return full.select("d", "h", "copies", "text", edited.alias("edited")), order
 
 
 def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs(doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs(doc_id, text).
+
+    One job reads the texts: the digest of the edited text goes along as a note beside the two versions.
+    """
     pairs, order = edited_pairs(docs)
-    both = pairs.select("d", "h", F.explode(F.array(
-        F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")),
-    )).alias("x")).select("d", "h", F.col("x.v").alias("v"), F.col("x.text").alias("text"))
-    sigs = fingerprint(both, ["d", "h", "v"], samples=samples)
-    sigs = durable(sigs.groupBy("d", "h").agg(F.max(F.when(F.col("v") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("edited_sig")))
-    ahead = order.select(F.col("id").alias("d"), "h", "next_id", "next_h").join(sigs.select(F.col("d").alias("next_id"), F.col("h").alias("next_h"), F.col("sig").alias("next_sig")), ["next_id", "next_h"])
-    rows = pairs.select("d", "h", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    got = rows.join(sigs, ["d", "h"], "left").join(ahead.select("d", "h", "next_sig"), ["d", "h"], "left")
+    note = F.sha2("edited", 256)
+    versions = [F.struct(F.lit(v).alias("v"), t.alias("text"), x.alias("note")) for v, t, x in ((0, F.col("text"), F.lit(None).cast("string")), (1, F.col("edited"), F.lit(None).cast("string")), (2, F.lit("note"), note))]
+    all_ = pairs.select("d", "h", "copies", F.explode(F.array(*versions)).alias("x")).select("d", "h", "copies", "x.v", "x.text", "x.note")
+    sigs = fingerprint(all_, ["d", "h", "v", "note"], samples=samples)
+    of = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
+    sigs = durable(sigs.groupBy("d", "h").agg(of(0, "sig").alias("sig"), of(1, "sig").alias("edited_sig"), of(2, "note").alias("edited_sha256")))
+    following = sigs.select(F.col("d").alias("next_id"), F.col("h").alias("next_h"), F.col("sig").alias("next_sig"))
+    ahead = order.withColumnRenamed("id", "d").join(following, ["next_id", "next_h"]).select("d", "h", "n", "copies", "next_sig")
+    got = sigs.join(ahead, ["d", "h"])
     none = F.array_repeat(F.lit(_NONE).cast("short"), samples)
-    sig, edited, following = (F.coalesce(c, none) for c in ("sig", "edited_sig", "next_sig"))
+    sig, edited, after = (F.coalesce(c, none) for c in ("sig", "edited_sig", "next_sig"))
     return got.select(
-        F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_chars", "edited_sha256", hexed(sig).alias("fingerprint"), hexed(edited).alias("edited_fingerprint"),
-        likeness(sig, edited).alias("near_edited"), likeness(sig, following).alias("near_next"),
-    )
+        F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", hexed(sig).alias("fingerprint"), hexed(edited).alias("edited_fingerprint"),
+        likeness(sig, edited).alias("near_edited"), likeness(sig, after).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
+    ).drop("_copy")
