@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import point_queries, shape_queries
+from tessera.plans import grid_queries, point_queries, shape_queries
 from tessera.plans.entries import Entry
 
 flagship = point_queries.flagship
 
 
 def entries() -> dict[str, Entry]:
-    return point_queries.entries() | shape_queries.entries()
+    return point_queries.entries() | shape_queries.entries() | grid_queries.entries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
