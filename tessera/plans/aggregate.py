@@ -48,8 +48,10 @@ def reduce_pixels(rows: DataFrame, canvas: Canvas, agg: R.Reduction, keys: list[
     if isinstance(agg, R.by):
         category = agg.category.fitted(rows)
         code = category.code()
-        coded = rows.withColumn("cat", F.element_at(F.array(*[F.lit(v) for v in category.layers()]), (code + 1).cast("int"))) if category.layers() else rows.withColumn("cat", F.lit(None))
-        inner = reduce_pixels(coded.where(F.col("cat").isNotNull()), canvas, agg.reduction, [*extra, "cat"], name)
+        # the code is filtered, not the element: Spark takes the element of an array without nulls for never null, even at a null index
+        coded = rows.withColumn("_code", code.cast("int")).where(F.col("_code").isNotNull())
+        names = F.array(*[F.lit(v) for v in category.layers()]) if category.layers() else F.array(F.lit(None).cast("string"))
+        inner = reduce_pixels(coded.withColumn("cat", F.get(names, F.col("_code"))), canvas, agg.reduction, [*extra, "cat"], name)
         return Grid(inner.df, canvas, inner.values, inner.layers | {"cat": category.layers()})
     group = ["py", "px", *extra]
     layers: dict[str, list] = {k: [] for k in extra}
