@@ -9,6 +9,10 @@ queries go down level by level, add up the differences and leave a whole group o
 gives back a spanning forest of its links. A fingerprint has at most 64 + 2,016 others within two bits, so links
 grow in proportion to distinct fingerprints.
 
+`similar` and `keep_first_similar` are for any similarity. A radius of 64 bits that is wide enough for 0.8 (some 10 bits on average,
+16 in the tail) would need blocks too short to part a large table, and would still lose pairs. So their candidates come from
+ordered prefixes of the shingle sets, which lose none, and each is compared exactly.
+
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle needs
 form one shingle; ties go to the smallest doc_id; repeated rows share fingerprint and component; null doc_ids are
 kept, and a component of nothing else has a null id; an empty table gives an empty result; `keep_first` passes other columns on.
@@ -33,6 +37,8 @@ FANOUT = 8
 SMALL = 16
 #: (query, node) pairs held at once while the index is searched.
 FRONT = 2_000_000
+#: Documents sampled for frequent shingles, in how many of them one is frequent, and how many are kept at most.
+SAMPLE_DOCS, OFTEN, MAX_FREQUENT = 20_000, 4, 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -214,9 +220,158 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
 
 def keep_first(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
     """docs without near-duplicates: of each component one row stays, of the smallest doc_id (null last), then text hash."""
+    return _first_rows(docs, labelled(docs, shingle, limit))
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of docs, one row of each root that rows(doc_id, h, root) names."""
     kept_id, kept_h, h = fresh(docs, "_id", "_h", "_own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("s")
-    kept = labelled(docs, shingle, limit).groupBy("root").agg(first).select(F.col("s.id").alias(kept_id), F.col("s.h").alias(kept_h))
+    kept = rows.groupBy("root").agg(first).select(F.col("s.id").alias(kept_id), F.col("s.h").alias(kept_h))
     own = docs.withColumn(h, F.xxhash64("text"))
     stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
     return stay.dropDuplicates(["doc_id", h]).select(*[f"`{c}`" for c in docs.columns])
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; words and short texts as in fingerprint(), none without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64))
+
+
+def least_overlap(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """ceil(similarity * n), safe against rounding: what a set of n must share with one that similar."""
+    return np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that occur in several documents of a sample, rarest first. They only order the prefixes; no result depends on them."""
+    n = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingles(t.as_py(), size) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], names=["g"])
+
+    counts = sample.mapInArrow(run, "g long").groupBy("g").count().where(F.col("count") >= OFTEN)
+    top = counts.orderBy(F.desc("count"), "g").limit(MAX_FREQUENT).collect()
+    return np.array([r["g"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def _prefix_pairs(token: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within whole runs of equal tokens, each by rising n, whose sizes and positions allow the similarity."""
+    i = np.arange(len(token))
+    d = 1
+    while len(i):
+        i = i[i + d < len(token)]
+        j = i + d
+        go = (token[i] == token[j]) & (n[i] >= least_overlap(n[j], similarity))
+        i, j = i[go], j[go]
+        shared = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (shared >= least_overlap(n[i] + n[j], similarity / (1 + similarity))) & (s[i] != s[j])
+        yield np.minimum(s[i[ok]], s[j[ok]]), np.maximum(s[i[ok]], s[j[ok]])
+        d += 1
+
+
+def similar_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) long, a < b: the sets of prefixes(s, n, prefix) that may be that similar, without repeats."""
+    rows = prefixes.select("s", "n", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.repartition(partitions_for(prefixes.sparkSession), "token").sortWithinPartitions("token", "n").select("token", "s", "n", "at")
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for a, b in _prefix_pairs(*held, similarity):
+            out.append(np.stack([a, b], 1))
+            if sum(map(len, out)) > FRONT:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out: list[np.ndarray]) -> pa.RecordBatch:
+        got = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64) for _ in range(4)]
+        for b in batches:
+            held = [np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
+            last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
+            end = last[-1] + 1 if len(last) else 0
+            if end:
+                yield from pairs([x[:end] for x in held])
+                held = [x[end:] for x in held]
+        yield from pairs(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h, root) for each row of docs(doc_id, text): rows of one root are joined by pairs whose shingle sets have that Jaccard similarity or more.
+
+    No such pair is lost: the shingles of a set are ordered (frequent ones last), and two sets that similar share one among the first
+    n - ceil(similarity * n) + 1 of each. What shares one is compared exactly.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    often = frequent_shingles(docs, shingle)
+    order = np.argsort(often)
+    ranked = often[order]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            keys, sizes, prefixes = [], [], []
+            for t in b.column(2):
+                g = shingles(t.as_py(), shingle)
+                keys.append(xxhash.xxh64_intdigest(g.tobytes(), 42))
+                sizes.append(len(g))
+                where = np.minimum(np.searchsorted(ranked, g), max(len(ranked) - 1, 0))
+                known = ranked[where] == g if len(ranked) else np.zeros(len(g), bool)
+                late = g[known][np.argsort(order[where[known]])] if known.any() else g[:0]
+                front = len(g) - int(least_overlap(len(g), similarity)) + 1 if len(g) else 0
+                prefixes.append(np.concatenate([g[~known], late])[:front].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+            s = pa.array(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s, pa.array(sizes, pa.int64()), lists], names=["doc_id", "h", "s", "n", "prefix"])
+
+    each = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema))
+    sets = each.groupBy("s").agg(F.min("h").alias("h"))
+    lone = each.join(sets, ["s", "h"]).select("s", "n", "prefix").dropDuplicates(["s"])
+    pairs = durable(similar_pairs(lone, similarity))
+    needed = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets, "s")
+    texts = docs.withColumn("h", F.xxhash64("text")).join(needed, "h").select("s", "text").dropDuplicates(["s"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), got], names=["s", "g"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    full = durable(texts.mapInArrow(whole, "s long, g binary"))
+    a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
+    links_ = pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
+    roots = components(links_)
+    return each.join(roots, each["s"] == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
+
+
+def keep_first_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near-duplicates by exact Jaccard similarity of their shingle sets; rows stay as in keep_first()."""
+    return _first_rows(docs, similar(docs, shingle, similarity))
