@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose, checksums confirm, context words adjust the score.
 
 The base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per kind; a match that fails its
-check is dropped without a retry. IBANs (mod-97) and social security numbers (context words only) are added.
+check is dropped without a retry. IBANs (length by country,
+mod-97; each head is tried, whatever stands before or after) and social security numbers (context words only) are added.
 All of it is built-in functions: the pieces between matches and the matches themselves give the offsets.
 The patterns below equal the plain ones of the base kinds, but are possessive and start at the head of a
 run of their characters, so that long unbroken runs cost linear time and no recursion.
@@ -27,9 +28,15 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]{4}){2,7}+(?: ?+[A-Z0-9]{1,3})?+\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
+#: Length of an IBAN by country; in the text it may be parted by a space after each four characters.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: A text without a match of this has no span of the kind; far cheaper than the pattern itself.
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
 CONTEXT = {
@@ -71,6 +78,25 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _iban(rest: Column) -> Column:
+    """The IBAN that rest starts with, or an empty string; where the country isn't listed, the longest start that passes its check."""
+
+    def of(n: int, head: str) -> str:
+        tail = f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+        return rf"{head}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{tail}\b"
+
+    listed = "|".join(of(n, f"(?:{c.replace(' ', '|')})") for n, c in IBAN_LENGTHS.items())
+    codes = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
+    ends = F.array(*[F.regexp_extract(rest, "^" + of(n, "[A-Z]{2}"), 0) for n in range(34, 14, -1)])
+    longest = F.try_element_at(F.filter(ends, lambda m: (m != "") & CHECKS["iban"](m)), F.lit(1))
+    return F.when(rest.rlike(f"^(?:{codes})"), F.regexp_extract(rest, f"^(?:{listed})", 0)).otherwise(F.coalesce(longest, F.lit("")))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """array<struct<start, rank, end, kind, score>> of one kind."""
     pattern, rank = PATTERNS[kind], KINDS.index(kind)
@@ -79,8 +105,14 @@ def _spans(text: Column, kind: str) -> Column:
     kind_of = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
     def step(acc: Column, x: Column) -> Column:
+        if kind != "iban":
+            return one(acc, x, x["h"])
+        # the pattern finds heads only, so that what follows one can't hide the next
+        return _let(_iban(F.substring(text, acc["at"] + F.length(x["p"]) + 1, F.lit(44))), lambda m: one(acc, x, m))
+
+    def one(acc: Column, x: Column, m: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
+        end = start + F.coalesce(F.length(m), F.lit(0))
         around = F.concat(
             F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))), F.lit(" "), F.substring(text, end + 1, F.lit(REACH // 2))
         )
@@ -88,10 +120,12 @@ def _spans(text: Column, kind: str) -> Column:
         sure = 0.0 if kind == "ssn" else CHECKED
         score = F.lit(FOUND + sure) + F.when(near, NEAR).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
-        good = x["h"].isNotNull() & CHECKS[kind](x["h"])
+        good = x["h"].isNotNull() & CHECKS[kind](m)
         if kind == "ssn":
             good = good & near
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        if kind == "iban":
+            good = good & (start >= F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)))
+        return F.struct((start + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     zipped = F.arrays_zip(pieces.alias("p"), hits.alias("h"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out"))
