@@ -3,9 +3,9 @@
 Terms are words, weights their counts. For sample j and term k: r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from a hash of
 (k, j); t = floor(ln(weight) / r + b), ln a = ln c - r (t - b + 1); the term with the least a, together with its t, is
 the sample. Two texts share a sample with a probability equal to their generalised Jaccard similarity, the sum of
-minima over the sum of maxima of weights, so the share of equal samples estimates it. c is drawn for each sample, r and b for
-SHARE samples of a term at once: each sample's law is the same as with draws of its own, and as a text's terms draw
-independently, its samples are all but independent too. a itself is compared, so a sample costs one logarithm.
+minima over the sum of maxima of weights, so the share of equal samples estimates it. r, b and c are drawn for each sample and
+term: r b and r (1 - b) are independent with the law Exp(1) and are what is drawn. a itself is compared, so where a weight
+is 1 (t = 0, a = c times a uniform number) a sample costs one logarithm.
 
 All of it is built-in functions. Each sample's a and identity are packed into one long, so a fingerprint is SAMPLES
 plain minima; texts are shuffled by document once, and counting terms and taking minima then need no other shuffle. A sample keeps 16 bits of its identity: 1 in 65,536 pairs of unequal samples look equal.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, durable, text_or_empty
 
 SAMPLES = 64
-#: Samples of a term that share r and b.
-SHARE = 4
+#: Samples of a term in one row.
+PER_ROW = 4
 #: Documents a range of ids should hold; the ranges' limits are at most MAX_RANGES numbers.
 RANGE_ROWS, MAX_RANGES = 50_000, 4096
 #: Stands for a null doc_id, and for the samples of a text without words.
@@ -45,29 +45,32 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << bits))
 
 
-def sample(base: Column, t: Column, scale: Column, salt: int) -> Column:
-    """One long per term whose minimum is the sample: a on top, in 46 bits (4 and more are one), 16 bits of (term, t) below."""
-    h = F.xxhash64(base.bitwiseXOR(F.lit(salt)))
-    a = -F.ln(_unit(h, 16, 24) * _unit(h, 40, 24)) * scale
-    return F.shiftleft((F.least(a, F.lit(3.999)) * F.lit(float(1 << 44))).cast("long"), 16).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))
+def sample(h: Column, lw: Column, u: Column) -> Column:
+    """One long per term whose minimum is the sample: a on top, in 46 bits (4 and more are one), 16 bits of (term, t) below. h and u are hashes of (term, sample); lw = ln weight."""
+    e = _unit(u, 0, 32)
+    f = _unit(u, 32, 32)
+    c = -F.ln(_unit(h, 16, 24) * _unit(h, 40, 24))
+    # b = ln f / ln(e f) and r = -ln(e f), so lw / r + b = (ln f - lw) / ln(e f), and r (t - b + 1) = -ln e - t ln(e f)
+    t = F.floor((F.ln(f) - lw) / F.ln(e * f))
+    a = F.when(lw > 0, c * e * F.exp(t * F.ln(e * f))).otherwise(c * e)
+    own = F.when(lw > 0, h.bitwiseXOR(t)).otherwise(h)
+    return F.shiftleft((F.least(a, F.lit(3.999)) * F.lit(float(1 << 44))).cast("long"), 16).bitwiseOR(own.bitwiseAND(F.lit(_LOW)))
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(keys, sig): array<short> of samples for each text that has words. texts should be partitioned by keys; a column `copies` says how often each is there.
 
-    A term has a row for each SHARE samples, so that the code for a row stays small enough for the JVM to compile it.
+    A term has a row for each PER_ROW samples, so that the code for a row stays small enough for the JVM to compile it.
     """
     copies = F.col("copies") if "copies" in texts.columns else F.lit(1)
     words = texts.select(*keys, copies.alias("copies"), F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = words.groupBy(*keys, "copies", F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
-    groups = F.explode(F.array(*[F.lit(g) for g in range(samples // SHARE)]))
+    groups = F.explode(F.array(*[F.lit(g) for g in range(samples // PER_ROW)]))
     rows = counts.select(*keys, F.ln(F.col("n") / F.col("copies")).alias("lw"), "term", groups.alias("g")).withColumn("base", F.xxhash64("term", "g"))
-    h = F.col("base")
-    rows = rows.withColumns({"r": -F.ln(_unit(h, 0, 20) * _unit(h, 20, 20)), "b": _unit(h, 40, 24)})
-    t = F.when(F.col("lw") > 0, (F.col("lw") / F.col("r") + F.col("b")).cast("long")).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("t", t).withColumn("scale", F.exp(F.col("r") * (F.col("b") - F.col("t") - F.lit(1.0))))
-    least = rows.groupBy(*keys, "g").agg(*[F.min(sample(h, F.col("t"), F.col("scale"), s)).alias(f"m{i}") for i, s in enumerate(_salts(SHARE))])
-    part = F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(SHARE)])
+    rows = rows.withColumns({f"h{i}": F.xxhash64(F.col("base").bitwiseXOR(F.lit(s))) for i, s in enumerate(_salts(PER_ROW))})
+    rows = rows.withColumns({f"u{i}": F.xxhash64(F.lit(i), f"h{i}") for i in range(PER_ROW)})
+    least = rows.groupBy(*keys, "g").agg(*[F.min(sample(F.col(f"h{i}"), F.col("lw"), F.col(f"u{i}"))).alias(f"m{i}") for i in range(PER_ROW)])
+    part = F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(PER_ROW)])
     every = F.sort_array(F.collect_list(F.struct("g", part.alias("part"))))
     return least.groupBy(*keys).agg(every.alias("_parts")).select(*keys, F.flatten(F.col("_parts.part")).alias("sig"))
 
