@@ -4,7 +4,7 @@ A document's hash is 60 bits of the MD5 of its id. Bytes are summed per prefix o
 even spread would need; from these sums each bucket's depth follows: it splits on another bit as long as its bytes
 exceed the limit. Where buckets are still too large at that depth, only their documents are summed again with more
 bits. Documents that no bit can part (equal ids) are filled one after the other into numbered parts of the last
-bucket. A document above the limit fills a shard of its own.
+bucket, none above the limit. A document above the limit fills a shard of its own.
 
 Defined cases: null text has 0 bytes; a null id hashes as an empty one; equal ids go by bytes, then text hash;
 repeated rows are documents of their own; an empty table has no shards; other columns can be joined by id.
@@ -76,7 +76,11 @@ def assign(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     if not last:
         return named.select("doc_id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"))
     before = Window.partitionBy("h").orderBy("doc_id", "bytes", "x").rowsBetween(Window.unboundedPreceding, 0)
-    fill = named.where("over").withColumn("part", F.floor((F.sum("bytes").over(before) - 1) / limit))
+    # a document that crosses a multiple of the running bytes is alone in its part; those between two multiples share one
+    end = F.sum("bytes").over(before)
+    cell = F.floor((end - F.col("bytes")) / limit)
+    fill = named.where("over").withColumn("_place", 2 * cell + (end > (cell + 1) * limit).cast("long"))
+    fill = fill.withColumn("part", (F.dense_rank().over(Window.partitionBy("h").orderBy("_place")) - 1).cast("long")).drop("_place")
     return named.where("not over").withColumn("part", F.lit(0).cast("long")).union(fill).select("doc_id", "bytes", "depth", "prefix", "part")
 
 
