@@ -21,17 +21,22 @@ def equalized(grid: DataFrame, value: str = "value", into: str = "value", intege
     Integers spanning fewer than `bins` values: exact counts per value. Otherwise counts in `bins` equal bins, and the cumulative
     share interpolated between bin centres. Only the histogram (at most `bins` rows) goes through an ordered window.
     """
+    return _equalized(grid, value, into, integer, bins)[0]
+
+
+def _equalized(grid: DataFrame, value: str, into: str, integer: bool | None = None, bins: int = BINS) -> tuple[DataFrame, DataFrame | None]:
+    """The equalized grid, and its histogram: a row for each discrete level."""
     if integer is None:
         integer = dict(grid.dtypes)[value] in ("tinyint", "smallint", "int", "bigint", "boolean")
     v = F.col(value).cast("double")
     lo, hi, n = grid.agg(F.min(v), F.max(v), F.count(v)).first()
     if not n:
-        return grid.withColumn(into, v)
+        return grid.withColumn(into, v), None
     upto = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     if integer and hi - lo < bins:
         counts = grid.groupBy(v.alias("_k")).count()
         share = counts.select("_k", (F.sum("count").over(upto) / F.lit(float(n))).alias("_share"))
-        return grid.join(F.broadcast(share), v == F.col("_k")).withColumn(into, F.col("_share")).drop("_k", "_share")
+        return grid.join(F.broadcast(share), v == F.col("_k")).withColumn(into, F.col("_share")).drop("_k", "_share"), counts
     width = (hi - lo) / bins if hi > lo else 1.0
     at = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
     counts = grid.groupBy(at.alias("_k")).count()
@@ -44,7 +49,7 @@ def equalized(grid: DataFrame, value: str = "value", into: str = "value", intege
     below = F.when(F.col("_pk") == F.col("_k") - 1, F.col("_before")).otherwise(F.when(F.col("_pk").isNull(), F.col("_share")).otherwise(F.col("_before")))
     above = F.when(F.col("_nk") == F.col("_k") + 1, F.col("_ns")).otherwise(F.col("_share"))
     mixed = F.when(part < 0, F.when(F.col("_k") == 0, F.col("_share")).otherwise(F.col("_share") + part * (F.col("_share") - below))).otherwise(F.col("_share") + part * (above - F.col("_share")))
-    return grid.join(F.broadcast(near), at == F.col("_k")).withColumn(into, mixed).drop("_k", "_share", "_before", "_pk", "_ns", "_nk")
+    return grid.join(F.broadcast(near), at == F.col("_k")).withColumn(into, mixed).drop("_k", "_share", "_before", "_pk", "_ns", "_nk"), counts
 
 
 def _curve(how: How, v: Column) -> Column:
@@ -65,9 +70,9 @@ def _transformed(grid: DataFrame, how: How, span: tuple[float, float] | None, va
     if how == "eq_hist":
         if span is not None:
             raise ValueError("eq_hist takes no span")
-        eq = equalized(grid, value, "_t")
-        lo, hi, levels = eq.agg(F.min("_t"), F.max("_t"), F.approx_count_distinct("_t")).first()
-        return eq, lo or 0.0, hi or 0.0, float(levels)
+        eq, levels = _equalized(grid, value, "_t")
+        lo, hi = eq.agg(F.min("_t"), F.max("_t")).first()
+        return eq, lo or 0.0, hi or 0.0, float(levels.count() if levels is not None else 0)
     if span is None:
         least = grid.agg(F.min(v)).first()[0] or 0.0
         out = grid.withColumn("_t", _curve(how, v - F.lit(float(least))))
