@@ -3,16 +3,22 @@
 Terms are words, weights their counts. For sample j and term k: r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from a hash of
 (k, j); t = floor(ln(weight) / r + b), ln a = ln c - r (t - b + 1); the term with the least a, together with its t, is
 the sample. Two texts share a sample with a probability equal to their generalised Jaccard similarity, the sum of
-minima over the sum of maxima of weights, so the share of equal samples estimates it. r, b and c are drawn for each sample and
-term: r b and r (1 - b) are independent with the law Exp(1) and are what is drawn. a itself is compared, so where a weight
-is 1 (t = 0, a = c times a uniform number) a sample costs one logarithm.
+minima over the sum of maxima of weights, so the share of equal samples estimates it.
 
-All of it is built-in functions. Each sample's a and identity are packed into one long, so a fingerprint is SAMPLES
-plain minima; texts are shuffled by document once, and counting terms and taking minima then need no other shuffle. A sample keeps 16 bits of its identity: 1 in 65,536 pairs of unequal samples look equal.
+r, c and b are drawn for each sample and term, through variables that are independent and easy to draw. With e = exp(-r (1 - b)) and
+f = exp(-r b), which are independent and uniform, a = c e (e f)^t. Of x = c e and y = c (1 - e), both are Exp(1) and
+independent (a Gamma(2, 1) number split at a uniform share). So x, y and f are drawn, e = x / (x + y), and a = x (e f)^t. A weight of 1 has t = 0
+and a = x. What is compared is 1 - exp(-a), in 47 bits: it rises with a and is uniform where a = x, so a term that occurs once costs one hash
+and no logarithm.
+
+All of it is built-in functions. A sample's a and 16 bits of its identity (term, t) are packed into one long, so a fingerprint is SAMPLES
+plain minima; texts are shuffled by document once, and counting terms and taking minima then need no other shuffle. 1 in 65,536
+pairs of unequal samples look equal.
 
 Defined cases: null text is empty; a text without words has the all-ones fingerprint, alike only to its kind;
 rows with equal doc_id and text are one document in the order, and each gets a row; equal ids go by text hash; a null id
-comes last; of an only document the next is itself; an empty table gives an empty result.
+comes last; of an only document the next is itself; texts of any length count whole (a document's terms are grouped in one task, a row a term);
+other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, durable, text_or_empty
 
 SAMPLES = 64
-#: Samples of a term in one row.
-PER_ROW = 4
+#: Samples of a term in one row, and of a term that occurs more than once.
+PER_SET, PER_ROW = 16, 4
+STEPS = PER_SET // PER_ROW
 #: Documents a range of ids should hold; the ranges' limits are at most MAX_RANGES numbers.
 RANGE_ROWS, MAX_RANGES = 50_000, 4096
 #: Stands for a null doc_id, and for the samples of a text without words.
@@ -35,9 +42,8 @@ NO_ID, _NONE = -(1 << 63), -1
 _LOW = 0xFFFF
 
 
-def _salts(n: int) -> list[int]:
-    gen = random.Random(20240607)
-    return [gen.getrandbits(64) - (1 << 63) for _ in range(n)]
+_gen = random.Random(20240607)
+_SALTS = [_gen.getrandbits(64) - (1 << 63) for _ in range(PER_SET)]
 
 
 def _unit(h: Column, shift: int, bits: int) -> Column:
@@ -45,34 +51,54 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << bits))
 
 
-def sample(h: Column, lw: Column, u: Column) -> Column:
-    """One long per term whose minimum is the sample: a on top, in 46 bits (4 and more are one), 16 bits of (term, t) below. h and u are hashes of (term, sample); lw = ln weight."""
-    e = _unit(u, 0, 32)
-    f = _unit(u, 32, 32)
-    c = -F.ln(_unit(h, 16, 24) * _unit(h, 40, 24))
-    # b = ln f / ln(e f) and r = -ln(e f), so lw / r + b = (ln f - lw) / ln(e f), and r (t - b + 1) = -ln e - t ln(e f)
-    t = F.floor((F.ln(f) - lw) / F.ln(e * f))
-    a = F.when(lw > 0, c * e * F.exp(t * F.ln(e * f))).otherwise(c * e)
-    own = F.when(lw > 0, h.bitwiseXOR(t)).otherwise(h)
-    return F.shiftleft((F.least(a, F.lit(3.999)) * F.lit(float(1 << 44))).cast("long"), 16).bitwiseOR(own.bitwiseAND(F.lit(_LOW)))
+def weighted(rows: DataFrame) -> DataFrame:
+    """rows(base, lw, g) plus s0 ... s{PER_ROW - 1}: where g is not negative, the samples g % STEPS * PER_ROW + (0, 1, ...) of a term of ln weight lw in a set of PER_SET.
+
+    Each is one long, whose minimum over the terms is the sample. Each step is a projection of its own, so that nothing is computed twice.
+    """
+    each, here = range(PER_ROW), F.col("g") >= 0
+    some = lambda c: F.when(here, c)
+    salt = [F.get(F.array(*[F.lit(_SALTS[k * PER_ROW + i]) for k in range(STEPS)]), F.col("g") % STEPS) for i in each]
+    rows = rows.withColumns({f"h{i}": some(_own(salt[i])) for i in each})
+    rows = rows.withColumns({f"u{i}": some(F.xxhash64(F.lit(i), f"h{i}")) for i in each} | {f"x{i}": some(-F.log1p(-_unit(F.col(f"h{i}"), 17, 47))) for i in each})
+    rows = rows.withColumns({f"e{i}": some(F.col(f"x{i}") / (F.col(f"x{i}") - F.ln(_unit(F.col(f"u{i}"), 0, 32)))) for i in each} | {f"f{i}": some(_unit(F.col(f"u{i}"), 32, 32)) for i in each})
+    rows = rows.withColumns({f"l{i}": some(F.ln(F.col(f"e{i}") * F.col(f"f{i}"))) for i in each})
+    rows = rows.withColumns({f"t{i}": some(F.floor((F.ln(f"f{i}") - F.col("lw")) / F.col(f"l{i}"))) for i in each})
+
+    def packed(i: int) -> Column:
+        h, t, moved = F.col(f"h{i}"), F.col(f"t{i}"), -F.expm1(-F.col(f"x{i}") * F.exp(F.col(f"t{i}") * F.col(f"l{i}")))
+        top = F.least((moved * F.lit(float(1 << 47))).cast("long"), F.lit((1 << 47) - 1))
+        own = F.shiftrightunsigned(h, 1)
+        return F.when(t > 0, F.shiftleft(top, 16).bitwiseOR(own.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))).otherwise(own)
+
+    return rows.withColumns({f"s{i}": packed(i) for i in each})
+
+
+def _own(salt: Column) -> Column:
+    """The number that a term and a sample have of their own; from it all their draws follow."""
+    return F.xxhash64(F.col("base").bitwiseXOR(salt))
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(keys, sig): array<short> of samples for each text that has words. texts should be partitioned by keys; a column `copies` says how often each is there.
+    """(keys, sig): array<short> of samples, a multiple of PER_SET, for each text that has words. texts should be partitioned by keys; a column `copies` says how often each is there.
 
-    A term has a row for each PER_ROW samples, so that the code for a row stays small enough for the JVM to compile it.
+    A term that occurs once has a row for each set of PER_SET samples, which are hashes. Another has one for each PER_ROW samples, so that
+    the code for a row stays small enough for the JVM to compile it.
     """
+    sets = samples // PER_SET
     copies = F.col("copies") if "copies" in texts.columns else F.lit(1)
     words = texts.select(*keys, copies.alias("copies"), F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = words.groupBy(*keys, "copies", F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
-    groups = F.explode(F.array(*[F.lit(g) for g in range(samples // PER_ROW)]))
-    rows = counts.select(*keys, F.ln(F.col("n") / F.col("copies")).alias("lw"), "term", groups.alias("g")).withColumn("base", F.xxhash64("term", "g"))
-    rows = rows.withColumns({f"h{i}": F.xxhash64(F.col("base").bitwiseXOR(F.lit(s))) for i, s in enumerate(_salts(PER_ROW))})
-    rows = rows.withColumns({f"u{i}": F.xxhash64(F.lit(i), f"h{i}") for i in range(PER_ROW)})
-    least = rows.groupBy(*keys, "g").agg(*[F.min(sample(F.col(f"h{i}"), F.col("lw"), F.col(f"u{i}"))).alias(f"m{i}") for i in range(PER_ROW)])
-    part = F.array(*[(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) - 32768).cast("short") for i in range(PER_ROW)])
-    every = F.sort_array(F.collect_list(F.struct("g", part.alias("part"))))
-    return least.groupBy(*keys).agg(every.alias("_parts")).select(*keys, F.flatten(F.col("_parts.part")).alias("sig"))
+    # negative: the row of set -1 - g; else set g / STEPS
+    shares = F.explode(F.when(F.col("n") > F.col("copies"), F.array(*[F.lit(g) for g in range(sets * STEPS)])).otherwise(F.array(*[F.lit(-1 - q) for q in range(sets)])))
+    rows = counts.select(*keys, F.ln(F.col("n") / F.col("copies")).alias("lw"), "term", shares.alias("g"))
+    rows = rows.withColumn("q", F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(F.shiftright("g", STEPS.bit_length() - 1)))
+    rows = weighted(rows.withColumn("base", F.xxhash64("term", "q")))
+    once, step = F.col("g") < 0, F.col("g") % STEPS
+    mins = [F.min(F.when(once, F.shiftrightunsigned(_own(F.lit(x)), 1)).when(step == j // PER_ROW, F.col(f"s{j % PER_ROW}"))).alias(f"m{j}") for j, x in enumerate(_SALTS)]
+    least = rows.groupBy(*keys, "q").agg(*mins).select(*keys, F.struct("q", F.array(*[F.col(f"m{j}") for j in range(PER_SET)]).alias("least")).alias("part"))
+    least = least.groupBy(*keys).agg(F.flatten(F.sort_array(F.collect_list("part"))["least"]).alias("_least"))
+    return least.select(*keys, F.transform("_least", lambda m: (m.bitwiseAND(F.lit(_LOW)) - 32768).cast("short")).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
