@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
+from tessera.llm.common import tidy
 
 CACHE_CHARS = 20_000_000
 #: Rows that go back to Spark at once.
@@ -121,7 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
                 lists = pa.ListArray.from_arrays(pa.array(ends), values)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, into])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -138,7 +139,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
                 blobs = [b"".join(map(tokens.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(blobs, pa.binary())], names=[*kept, into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.durable import durable, forget, shared_dir
 
-__all__ = ["WORD", "durable", "forget", "fresh", "partitions_for", "shared_dir", "table", "text_or_empty", "word_count"]
+__all__ = ["WORD", "durable", "forget", "fresh", "partitions_for", "shared_dir", "table", "text_or_empty", "tidy", "word_count"]
 
 #: A word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +43,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches], forget_: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """run for mapInArrow, whose worker gives freed memory back when a task is over.
+
+    Workers outlive tasks and stages: what one stage has used would otherwise count against the next ones. forget_ empties caches first.
+    """
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            if forget_ is not None:
+                forget_()
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc

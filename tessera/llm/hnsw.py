@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship
-from tessera.llm.common import durable, partitions_for
+from tessera.llm.common import durable, partitions_for, tidy
 
 SHARD_ROWS = 8192
 FLAT = 256
@@ -244,7 +244,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
         if held:
             yield graph()
 
-    graphs = durable(dealt.mapInArrow(build, fields))
+    graphs = durable(dealt.mapInArrow(tidy(build), fields))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,7 +253,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
                 yield row(-1, 1, np.array(part.column(0)), _matrix(part.column(1), dims), [])
 
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = queries.mapInArrow(block, fields).drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocks = queries.mapInArrow(tidy(block), fields).drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     both = graphs.unionByName(blocks).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +272,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
                     q, v, s = graph.search(ids, vecs, k, beam)
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(answer, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(tidy(answer), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ grow in proportion to distinct fingerprints.
 
 `similar` and `keep_first_similar` are for any similarity. A radius of 64 bits that is wide enough for 0.8 (some 10 bits on average,
 16 in the tail) would need blocks too short to part a large table, and would still lose pairs. So their candidates come from
-ordered prefixes of the shingle sets, which lose none, and each is compared exactly.
+ordered prefixes of the shingle sets, which lose none, and each is compared exactly. Groups of many near copies are joined by few of their pairs first.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle needs
 form one shingle; ties go to the smallest doc_id; repeated rows share fingerprint and component; null doc_ids are
@@ -20,6 +20,7 @@ kept, and a component of nothing else has a null id; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
-from tessera.llm.common import durable, fresh, partitions_for
+from tessera.llm.common import durable, fresh, partitions_for, tidy
 from tessera.llm.components import components
 
 FANOUT = 8
 SMALL = 16
 #: (query, node) pairs held at once while the index is searched.
 FRONT = 2_000_000
+#: Rows of a shingle that meet in one group.
+BLOCK = 100_000
 #: Documents sampled for frequent shingles, in how many of them one is frequent, and how many are kept at most.
 SAMPLE_DOCS, OFTEN, MAX_FREQUENT = 20_000, 4, 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -67,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
             got = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -195,7 +198,7 @@ def links(distinct: DataFrame, limit: int = 2) -> DataFrame:
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def hexed(fp: Column) -> Column:
@@ -249,91 +252,203 @@ def least_overlap(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes of shingles that occur in several documents of a sample, rarest first. They only order the prefixes; no result depends on them."""
     n = docs.count()
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [shingles(t.as_py(), size) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], names=["g"])
 
-    counts = sample.mapInArrow(run, "g long").groupBy("g").count().where(F.col("count") >= OFTEN)
+    counts = sample.mapInArrow(tidy(run), "g long").groupBy("g").count().where(F.col("count") >= OFTEN)
     top = counts.orderBy(F.desc("count"), "g").limit(MAX_FREQUENT).collect()
     return np.array([r["g"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _prefix_pairs(token: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within whole runs of equal tokens, each by rising n, whose sizes and positions allow the similarity."""
-    i = np.arange(len(token))
+def _fits(i: np.ndarray, j: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j, different ones that share a token at their positions, can be that similar by their sizes."""
+    shared = np.minimum(n[i] - at[i], n[j] - at[j])
+    least = np.maximum(least_overlap(n[i] + n[j], similarity / (1 + similarity)), least_overlap(np.maximum(n[i], n[j]), similarity))
+    return (shared >= least) & (s[i] != s[j])
+
+
+def bitmap(g: np.ndarray) -> bytes:
+    """Eight bits or more for each shingle of a set; a bit is the parity of the shingles that fall on it, so two maps differ in no more bits than the sets in shingles."""
+    width = 8
+    while len(g) > width:
+        width *= 2
+    return np.packbits(np.bincount((g & np.uint64(8 * width - 1)).astype(np.int64), minlength=8 * width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of sets by row; a wider one folds to the width of a narrower one."""
+
+    def __init__(self, maps: list[bytes]):
+        sizes = np.array([len(m) for m in maps])
+        self.width, self.place, self.of = sizes, np.zeros(len(maps), np.int64), {}
+        for w in np.unique(sizes):
+            own = np.flatnonzero(sizes == w)
+            self.place[own] = np.arange(len(own))
+            self.of[w] = np.frombuffer(b"".join(maps[k] for k in own), np.uint64).reshape(len(own), w // 8)
+
+    def _at(self, rows: np.ndarray, wide: int, narrow: int) -> np.ndarray:
+        got = self.of[wide][self.place[rows]]
+        return got if wide == narrow else np.bitwise_xor.reduce(got.reshape(len(rows), wide // narrow, narrow // 8), axis=1)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits rows i and j differ: at most the shingles that only one of them has."""
+        out = np.zeros(len(i), np.int64)
+        kinds = np.stack([self.width[i], self.width[j]], 1)
+        for x, y in np.unique(kinds, axis=0):
+            own = np.flatnonzero((kinds == (x, y)).all(axis=1))
+            low = min(x, y)
+            step = max(1, FRONT * 8 // low)
+            for at in range(0, len(own), step):
+                k = own[at : at + step]
+                out[k] = np.bitwise_count(self._at(i[k], x, low) ^ self._at(j[k], y, low)).sum(axis=1)
+        return out
+
+
+def _near_pairs(group: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the next one of its group (whole runs) that it can be similar to: at most a pair a row."""
+    i = np.arange(len(group))
     d = 1
     while len(i):
-        i = i[i + d < len(token)]
+        i = i[i + d < len(group)]
+        i = i[group[i] == group[i + d]]
+        ok = _fits(i, i + d, s, n, at, similarity)
+        yield i[ok], i[ok] + d
+        i = i[~ok]
+        d += 1
+
+
+def _cross_pairs(group: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, same: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a group (whole runs, each by rising n), of different roots, and of different blocks unless same, that can be similar."""
+    i = np.arange(len(group))
+    d = 1
+    while len(i):
+        i = i[i + d < len(group)]
         j = i + d
-        go = (token[i] == token[j]) & (n[i] >= least_overlap(n[j], similarity))
+        go = (group[i] == group[j]) & (n[i] >= least_overlap(n[j], similarity))
         i, j = i[go], j[go]
-        shared = np.minimum(n[i] - at[i], n[j] - at[j])
-        ok = (shared >= least_overlap(n[i] + n[j], similarity / (1 + similarity))) & (s[i] != s[j])
-        yield np.minimum(s[i[ok]], s[j[ok]]), np.maximum(s[i[ok]], s[j[ok]])
+        ok = (root[i] != root[j]) & ((same[i] > 0) | (block[i] != block[j]))
+        ok[ok] = _fits(i[ok], j[ok], s, n, at, similarity)
+        yield i[ok], j[ok]
         d += 1
 
 
-def similar_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) long, a < b: the sets of prefixes(s, n, prefix) that may be that similar, without repeats."""
-    rows = prefixes.select("s", "n", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.repartition(partitions_for(prefixes.sparkSession), "token").sortWithinPartitions("token", "n").select("token", "s", "n", "at")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of one or more whole runs of equal values of the first."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = np.asarray(b.column(0))
+        last = np.flatnonzero(first != first[-1])
+        end = int(last[-1]) + 1 if len(last) else 0
+        if held and (end or first[0] != held[0].column(0)[-1].as_py()):
+            yield [pa.concat_arrays(c) for c in zip(*[h.columns for h in [*held, b.slice(0, end)]], strict=True)]
+            held, b = [], b.slice(end)
+        held.append(b)
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*[h.columns for h in held], strict=True)]
+
+
+def _pair_batch(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    got = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
-        for a, b in _prefix_pairs(*held, similarity):
-            out.append(np.stack([a, b], 1))
-            if sum(map(len, out)) > FRONT:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
 
-    def batch(out: list[np.ndarray]) -> pa.RecordBatch:
-        got = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+def linking_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidates of rows(token, c, s, n, at), one a row at most; c is how many rows the token has.
+
+    The rows of a token are shuffled, each token's in its own way, and cut into blocks, so that sets meet others in every token.
+    """
+    block = F.pmod(F.xxhash64("s", "token"), F.ceil(F.col("c") / BLOCK))
+    size = F.floor(F.ln("n") / -math.log(similarity))
+    # a hash stands for token, block and size: two that clash only add candidates
+    dealt = rows.select(F.xxhash64("token", block, size).alias("group"), "s", "n", "at", F.xxhash64("token", "s").alias("place"))
+    dealt = dealt.repartition(partitions_for(rows.sparkSession), "group").sortWithinPartitions("group", "place").drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64) for _ in range(4)]
-        for b in batches:
-            held = [np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
-            last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
-            end = last[-1] + 1 if len(last) else 0
-            if end:
-                yield from pairs([x[:end] for x in held])
-                held = [x[end:] for x in held]
-        yield from pairs(held)
+        for columns in _runs(batches):
+            group, s, n, at = (np.asarray(c) for c in columns)
+            for i, j in _near_pairs(group, s, n, at, similarity):
+                yield _pair_batch(s, i, j)
+
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def remaining_pairs(rows: DataFrame, roots: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all candidates out of rows(token, c, s, n, at) that roots(node, root) don't join yet; maps(s, bits) are the sets' bitmaps.
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    Tokens whose sets all have one root are left out before anything is gathered. What is left of a token of over BLOCK rows is cut into
+    blocks, and each two blocks meet in a group of their own. A first pass names the sets that have a candidate at all, a second one
+    compares their bitmaps, which rule out what shares too little, so what goes out is hardly more than what is similar.
+    """
+    named = durable(rows.join(roots, F.col("s") == F.col("node"), "left").select("token", "s", "n", "at", F.coalesce("root", "s").alias("root")))
+    mixed = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("token", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    cut = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
+    cut = durable(cut.select(group.alias("group"), "s", "n", "at", "root", "block", (F.col("block") == F.col("other")).cast("long").alias("same")))
+    dealt = lambda df: df.repartition(partitions_for(rows.sparkSession), "group").sortWithinPartitions("group", "n", "s")
+
+    def named_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            x = [np.asarray(c) for c in columns]
+            found = np.zeros(len(x[0]), bool)
+            for i, j in _cross_pairs(*x, similarity):
+                found[i] = found[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(x[1][found]))], names=["s"])
+
+    live = durable(dealt(cut).mapInArrow(tidy(named_ones), "s long").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            x = [np.asarray(c) for c in columns[:-1]]
+            s, n, maps_ = x[1], x[2], Bitmaps(columns[-1].to_pylist())
+            for i, j in _cross_pairs(*x, similarity):
+                # sets that share w of n + m shingles differ in n + m - 2 w
+                ok = maps_.differ(i, j) <= n[i] + n[j] - 2 * least_overlap(n[i] + n[j], similarity / (1 + similarity))
+                yield _pair_batch(s, i[ok], j[ok])
+
+    return dealt(cut.join(live, "s").join(maps, "s").select(*cut.columns, "bits")).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, root) for each row of docs(doc_id, text): rows of one root are joined by pairs whose shingle sets have that Jaccard similarity or more.
 
     No such pair is lost: the shingles of a set are ordered (frequent ones last), and two sets that similar share one among the first
-    n - ceil(similarity * n) + 1 of each. What shares one is compared exactly.
+    n - ceil(similarity * n) + 1 of each. What shares one is a candidate; candidates are compared exactly. First each set meets one other for each
+    shingle, which joins a group of many near copies at a cost in proportion to its size; then all candidates that aren't joined by that and whose bitmaps allow it.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     often = frequent_shingles(docs, shingle)
     order = np.argsort(often)
     ranked = often[order]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            keys, sizes, prefixes = [], [], []
+        for b in slices(batches):
+            keys, sizes, prefixes, maps = [], [], [], []
             for t in b.column(2):
                 g = shingles(t.as_py(), shingle)
                 keys.append(xxhash.xxh64_intdigest(g.tobytes(), 42))
                 sizes.append(len(g))
+                maps.append(bitmap(g))
                 where = np.minimum(np.searchsorted(ranked, g), max(len(ranked) - 1, 0))
                 known = ranked[where] == g if len(ranked) else np.zeros(len(g), bool)
                 late = g[known][np.argsort(order[where[known]])] if known.any() else g[:0]
@@ -342,17 +457,19 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
             s = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s, pa.array(sizes, pa.int64()), lists], names=["doc_id", "h", "s", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s, pa.array(sizes, pa.int64()), lists, pa.array(maps, pa.binary())], names=["doc_id", "h", "s", "n", "prefix", "bits"])
 
-    each = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema))
+    each = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(run), schema))
     sets = each.groupBy("s").agg(F.min("h").alias("h"))
-    lone = each.join(sets, ["s", "h"]).select("s", "n", "prefix").dropDuplicates(["s"])
-    pairs = durable(similar_pairs(lone, similarity))
-    needed = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(sets, "s")
-    texts = docs.withColumn("h", F.xxhash64("text")).join(needed, "h").select("s", "text").dropDuplicates(["s"])
+    lone = each.join(sets, ["s", "h"]).dropDuplicates(["s"])
+    rows = lone.select("s", "n", "prefix").select("s", "n", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("token", "s", "n", F.col("at").cast("long").alias("at"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    rows = durable(rows.join(shared, "token"))
+    texts = docs.withColumn("h", F.xxhash64("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=["s", "g"])
 
@@ -365,10 +482,17 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = durable(texts.mapInArrow(whole, "s long, g binary"))
-    a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
-    links_ = pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
-    roots = components(links_)
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The pairs that are that similar."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets, "s")
+        full = durable(texts.join(needed, "h").select("s", "text").dropDuplicates(["s"]).mapInArrow(tidy(whole), "s long, g binary"))
+        a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(tidy(compare), "a long, b long")
+
+    first = durable(linking_pairs(rows, similarity))
+    links_ = durable(joined(first))
+    rest = durable(remaining_pairs(rows, components(links_), lone.select("s", "bits"), similarity).join(first, ["a", "b"], "left_anti"))
+    roots = components(links_.union(joined(rest)))
     return each.join(roots, each["s"] == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship
-from tessera.llm.common import durable, partitions_for, text_or_empty
+from tessera.llm.common import durable, partitions_for, text_or_empty, tidy
 
 LENGTH, GRAM = 200, 48
 #: Windows' grams; the most bytes before an anchor that a window can hold.
@@ -400,7 +400,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("h", F.xxhash64("text")).withColumn("rk", F.xxhash64(F.col("doc_id").cast("string"), "h"))
-    grams = texts.select("rk", "text").mapInArrow(_grams, "gram long, rk long, n int")
+    grams = texts.select("rk", "text").mapInArrow(tidy(_grams), "gram long, rk long, n int")
     often = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     found = grams.join(often.hint("merge"), "gram").groupBy("rk").agg(F.collect_set("gram").alias("grams"))
     found = durable(found)
@@ -443,9 +443,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         yield from run.flush()
 
     texts_by_key = texts.select("rk", "h", "doc_id", "text")
-    sent = texts_by_key.join(found.hint("merge"), "rk").select("rk", "h", "text", "grams").mapInArrow(runs, FIELDS)
+    sent = texts_by_key.join(found.hint("merge"), "rk").select("rk", "h", "text", "grams").mapInArrow(tidy(runs), FIELDS)
     dealt = sent.repartition(parts, F.when(F.col("part") < 0, F.col("rk")).otherwise(F.col("part"))).sortWithinPartitions("part", "run", "seq")
-    spans = dealt.mapInArrow(_reduce, FIELDS).groupBy("rk", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = dealt.mapInArrow(tidy(_reduce), FIELDS).groupBy("rk", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("rk"), F.col("h").alias("_h"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +468,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     joined = texts_by_key.join(spans.hint("merge"), "rk", "left").where("_h is null or _h = h")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def union(spans: pa.StructArray) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ largest; rows are multiplied by the inverse root of the landmarks' kernel matrix
 solved by Newton steps, is trained on them; a logistic curve turns margins into scores.
 
 Training takes at most SAMPLE labelled rows of each class, by the hash of their ids: the only bounded sample here. Every document is scored
-whole. Workers remember words (emptied beyond CACHE_WORDS, which changes only time).
+whole. Workers remember words (emptied beyond CACHE_CHARS and at the end of a task, which changes only time).
 
 Defined cases: null and empty texts score like texts without words; a null doc_id is held in or out as an empty string;
 null labels don't train; a repeated label row counts once, toxic if any is; without both classes the score is
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
+from tessera.llm.common import tidy
 
 SAMPLE, LANDMARKS, RARE = 2500, 40, 50
 ORDER, DECAY, WEAK, STRONG = 3, 0.6, 0.4, 0.9
 #: Lengths of landmarks; words are looked at in windows of so many characters, each overlapping the next by half.
 SHORT, LONG, WINDOW = 4, 8, 24
-CACHE_WORDS = 400_000
+#: Characters of remembered words, OVERHEAD for each word included: some 100 MB.
+CACHE_CHARS, OVERHEAD = 24_000_000, 100
 #: Stands before every word, so that landmarks can tell a word's head; how many words of a text should have a landmark.
 START, LEVELS = "^", (1, 3)
 _JUNK = re.compile(r"[\W_]+")
@@ -110,13 +112,20 @@ class Model:
         self.curve = (1.0, 0.0)
         self.known: set[str] = set()
         self.hits: dict[str, list[tuple[int, float]]] = {}
+        self.chars = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": set(), "hits": {}}
+        return self.__dict__ | {"known": set(), "hits": {}, "chars": 0}
+
+    def forget_words(self) -> None:
+        self.known.clear()
+        self.hits.clear()
+        self.chars = 0
 
     def learn_words(self, new: list[str]) -> None:
         """Match words that were not met before with the landmarks."""
         self.known.update(new)
+        self.chars += sum(map(len, new)) + OVERHEAD * len(new)
         owner, pieces = [], []
         for w in new:
             clean = START + _JUNK.sub("", w)
@@ -140,9 +149,8 @@ class Model:
         m = len(self.landmarks)
         out = np.zeros((len(texts), 4 * m + 1))
         split = [words_of(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.hits.clear()
+        if self.chars > CACHE_CHARS:
+            self.forget_words()
         new = set().union(*split).difference(self.known) if split else set()
         if new:
             self.learn_words(list(new))
@@ -286,7 +294,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
                 got = model.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(got)], names=[*kept, into])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run, model.forget_words), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, into: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from tessera.llm import simhash
 from tessera.llm.common import table
 from tests.llm import plain
 
@@ -63,3 +65,41 @@ def test_stage_keeps_one_of_each_similar_group(spark, which):  # noqa: ANN001, A
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter(r["doc_id"] for r in got.collect()) == _kept(rows)
+
+
+def test_tokens_in_blocks(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """Blocks of three rows: every token is cut, and pairs of different blocks are found."""
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    rows = _edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(r["doc_id"] for r in simhash.keep_first_similar(docs).collect()) == _kept(rows)
+
+
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):  # noqa: ANN001, ANN201
+    words = plain.prose(77, 150).split()
+    rows = [(i, " ".join(w if (n * 131 + i * 17) % 97 else f"x{i}" for n, w in enumerate(words))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+
+    def counting(find):  # noqa: ANN001, ANN202
+        def found(*args):  # noqa: ANN002, ANN202
+            out = find(*args).cache()
+            seen.append(out.count())
+            return out
+
+        return found
+
+    for name in ("linking_pairs", "remaining_pairs"):
+        monkeypatch.setattr(simhash, name, counting(getattr(simhash, name)))
+    assert Counter(r["doc_id"] for r in simhash.keep_first_similar(docs).collect()) == _kept(rows)
+    assert len(seen) == 2 and sum(seen) < 600 * 60
+
+
+def test_bitmaps_never_exceed_the_difference():  # noqa: ANN201
+    texts = [" ".join(plain.prose(k, 40 * (k + 1)).split()) for k in range(6)]
+    sets = [simhash.shingles(t) for t in texts] + [simhash.shingles(texts[-1] + " more words at its end"), simhash.shingles("")]
+    maps = simhash.Bitmaps([simhash.bitmap(s) for s in sets])
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            got = int(maps.differ(np.array([i]), np.array([j]))[0])
+            assert got <= len(np.setxor1d(sets[i], sets[j])) and (i != j or got == 0)
