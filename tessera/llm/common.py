@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.durable import durable, forget, shared_dir
 
-__all__ = ["WORD", "durable", "forget", "fresh", "partitions_for", "shared_dir", "table", "text_or_empty", "tidy", "word_count"]
+__all__ = ["WORD", "durable", "few", "forget", "fresh", "partitions_for", "shared_dir", "table", "text_or_empty", "tidy", "word_count"]
 
 #: A word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +41,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a few longs that every executor may hold: some 50 MB.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a written table of a few longs, with a broadcast hint if it has at most FEW rows; else joins with it are shuffled."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.shipping import ship
-from tessera.llm.common import durable, fresh, partitions_for, tidy
+from tessera.llm.common import durable, few, fresh, partitions_for, tidy
 from tessera.llm.components import components
 
 FANOUT = 8
@@ -227,13 +227,20 @@ def keep_first(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
 
 
 def _first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of docs, one row of each root that rows(doc_id, h, root) names."""
-    kept_id, kept_h, h = fresh(docs, "_id", "_h", "_own")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("s")
-    kept = rows.groupBy("root").agg(first).select(F.col("s.id").alias(kept_id), F.col("s.h").alias(kept_h))
+    """Of docs, one row of each root that rows(doc_id, h, root) names.
+
+    Most rows stay as they are, so what is joined are the (doc_id, text hash) that go or are there more than once.
+    """
+    id_, h_, first, h = fresh(docs, "_id", "_h", "_first", "_own")
+    per = durable(rows.groupBy("doc_id", "h", "root").agg(F.count("*").alias("c")))
+    best = per.groupBy(F.col("root").alias("to")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("best"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    marked = per.join(best, F.col("root") == F.col("to")).withColumn("is_first", is_first).where("not is_first or c > 1")
+    marked = few(durable(marked.select(F.col("doc_id").alias(id_), F.col("h").alias(h_), F.col("is_first").alias(first))))
     own = docs.withColumn(h, F.xxhash64("text"))
-    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h)), "left_semi")
-    return stay.dropDuplicates(["doc_id", h]).select(*[f"`{c}`" for c in docs.columns])
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_))
+    again = own.join(marked.where(F.col(first)), same, "left_semi").dropDuplicates(["doc_id", h])
+    return own.join(marked, same, "left_anti").union(again).select(*[f"`{c}`" for c in docs.columns])
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -484,7 +491,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The pairs that are that similar."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets, "s")
+        needed = few(durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets, "s")))
         full = durable(texts.join(needed, "h").select("s", "text").dropDuplicates(["s"]).mapInArrow(tidy(whole), "s long, g binary"))
         a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(tidy(compare), "a long, b long")
