@@ -6,8 +6,8 @@ cut by the pre-token pattern, each distinct pre-token is encoded once a worker (
 CACHE_CHARS, which changes nothing but time), and ids are rank for rank those of the file.
 
 Defined cases: null and empty texts give no ids and decode to nothing; special tokens are ordinary text; texts are
-encoded whole; repeated rows give equal rows; an unknown id raises when decoded; `encode` adds its column to
-whatever columns there are, replacing one of the same name.
+encoded whole, whatever their length; repeated rows give equal rows; an unknown id raises when decoded; `encode`, `decode` and `round_trip` add
+their columns to whatever columns there are, replacing those of the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,6 +104,13 @@ def encoder(model: bytes, pattern: str) -> Encoder:
     return Encoder(model, pattern)
 
 
+def _lists(blobs: list[bytes]) -> pa.ListArray:
+    """int32 lists of their bytes."""
+    ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(blobs))])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with a column of token ids (array<int>)."""
     ship(docs.sparkSession)
@@ -117,10 +124,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 blobs = enc.ids([t.as_py() or "" for t in part.column(text)])
-                ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(blobs))])
-                lists = pa.ListArray.from_arrays(pa.array(ends), values)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, into])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], _lists(blobs)], names=[*kept, into])
 
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), schema)
 
@@ -142,6 +146,26 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     return docs.mapInArrow(tidy(run), schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the token ids of the text and the bytes that these ids stand for, in one pass; columns of these names are replaced."""
+    ship(docs.sparkSession)
+    tokens = read_ranks(path)
+    model = model_bytes(tokens)
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(model, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                blobs = enc.ids([t.as_py() or "" for t in part.column(text)])
+                back = [b"".join(map(tokens.__getitem__, np.frombuffer(b, np.int32).tolist())) for b in blobs]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], _lists(blobs), pa.array(back, pa.binary())], names=[*kept, ids, decoded])
+
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), schema)
+
+
 def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return encoded.select(
@@ -152,6 +176,6 @@ def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> D
 
 def checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with ids, n_tokens and decodes (whether the ids decode to the text's bytes), without the text."""
-    both = decode(encode(docs, path, pattern, text), path)
+    both = round_trip(docs, path, pattern, text)
     same = F.col("decoded") == F.coalesce(F.col(text), F.lit("")).cast("binary")
     return both.select(*[c for c in docs.columns if c != text], "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))

@@ -40,8 +40,10 @@ SMALL = 16
 FRONT = 2_000_000
 #: Rows of a shingle that meet in one group.
 BLOCK = 100_000
+#: Candidates a row up to which a group's are compared without a look at bitmaps.
+DENSE = 4
 #: Documents sampled for frequent shingles, in how many of them one is frequent, and how many are kept at most.
-SAMPLE_DOCS, OFTEN, MAX_FREQUENT = 20_000, 4, 200_000
+SAMPLE_DOCS, OFTEN, MAX_FREQUENT = 5_000, 4, 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -266,6 +268,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def most_apart(n: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many shingles two sets of n in all can differ: n - 2 w, where w is what they share."""
+    return n - 2 * least_overlap(n, similarity / (1 + similarity))
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes of shingles that occur in several documents of a sample, rarest first. They only order the prefixes; no result depends on them."""
     n = docs.count()
@@ -370,9 +377,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         yield [pa.concat_arrays(c) for c in zip(*[h.columns for h in held], strict=True)]
 
 
-def _pair_batch(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+def _pair_batch(s: np.ndarray, i: np.ndarray, j: np.ndarray, *before: None) -> pa.RecordBatch:
+    """(a, b), a < b, without repeats; a null column stands before them if asked for."""
     got = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(got), pa.int64()) for _ in before], pa.array(got[:, 0]), pa.array(got[:, 1])], names=[*["group" for _ in before], "a", "b"])
 
 
 def linking_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -399,8 +407,8 @@ def remaining_pairs(rows: DataFrame, roots: DataFrame, maps: DataFrame, similari
     """(a, b), a < b: all candidates out of rows(token, c, s, n, at) that roots(node, root) don't join yet; maps(s, bits) are the sets' bitmaps.
 
     Tokens whose sets all have one root are left out before anything is gathered. What is left of a token of over BLOCK rows is cut into
-    blocks, and each two blocks meet in a group of their own. A first pass names the sets that have a candidate at all, a second one
-    compares their bitmaps, which rule out what shares too little, so what goes out is hardly more than what is similar.
+    blocks, and each two blocks meet in a group of their own. Where a group has no more than DENSE candidates a row, they go out as they are.
+    In other groups the rows' bitmaps are compared first, which rule out what shares too little.
     """
     named = durable(rows.join(roots, F.col("s") == F.col("node"), "left").select("token", "s", "n", "at", F.coalesce("root", "s").alias("root")))
     mixed = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("token", F.ceil(F.col("c") / BLOCK).alias("blocks"))
@@ -410,26 +418,36 @@ def remaining_pairs(rows: DataFrame, roots: DataFrame, maps: DataFrame, similari
     cut = durable(cut.select(group.alias("group"), "s", "n", "at", "root", "block", (F.col("block") == F.col("other")).cast("long").alias("same")))
     dealt = lambda df: df.repartition(partitions_for(rows.sparkSession), "group").sortWithinPartitions("group", "n", "s")
 
-    def named_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of groups with few, as (null, a, b); of the others the rows that have a candidate, as (group, s, null)."""
         for columns in _runs(batches):
             x = [np.asarray(c) for c in columns]
-            found = np.zeros(len(x[0]), bool)
+            of = np.cumsum(np.r_[False, x[0][1:] != x[0][:-1]])
+            pairs, found = np.zeros(of[-1] + 1, np.int64), np.zeros(len(of), bool)
             for i, j in _cross_pairs(*x, similarity):
+                pairs += np.bincount(of[i], minlength=len(pairs))
                 found[i] = found[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(x[1][found]))], names=["s"])
+            dense = (pairs > DENSE * np.bincount(of))[of]
+            few_ = ~dense & (pairs > 0)[of]
+            for i, j in _cross_pairs(*[c[few_] for c in x], similarity):
+                yield _pair_batch(x[1][few_], i, j, None)
+            mine = dense & found
+            yield pa.RecordBatch.from_arrays([pa.array(x[0][mine]), pa.array(x[1][mine]), pa.nulls(int(mine.sum()), pa.int64())], names=["group", "a", "b"])
 
-    live = durable(dealt(cut).mapInArrow(tidy(named_ones), "s long").distinct())
+    first = durable(dealt(cut).mapInArrow(tidy(sparse), "group long, a long, b long"))
+    live = first.where("group is not null").select("group", F.col("a").alias("s"))
+    maps = maps.join(few(durable(live.select("s").distinct())), "s", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches):
             x = [np.asarray(c) for c in columns[:-1]]
             s, n, maps_ = x[1], x[2], Bitmaps(columns[-1].to_pylist())
             for i, j in _cross_pairs(*x, similarity):
-                # sets that share w of n + m shingles differ in n + m - 2 w
-                ok = maps_.differ(i, j) <= n[i] + n[j] - 2 * least_overlap(n[i] + n[j], similarity / (1 + similarity))
+                ok = maps_.differ(i, j) <= most_apart(n[i] + n[j], similarity)
                 yield _pair_batch(s, i[ok], j[ok])
 
-    return dealt(cut.join(live, "s").join(maps, "s").select(*cut.columns, "bits")).mapInArrow(tidy(run), "a long, b long").distinct()
+    checked = dealt(cut.join(live, ["group", "s"]).join(maps, "s").select(*cut.columns, "bits")).mapInArrow(tidy(run), "a long, b long")
+    return first.where("group is null").select("a", "b").union(checked).distinct()
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -444,12 +462,16 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     often = frequent_shingles(docs, shingle)
     order = np.argsort(often)
     ranked = often[order]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("id", "h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        from pyspark import TaskContext
 
+        number = TaskContext.get().partitionId() << 40
         for b in slices(batches):
+            ids = pa.array(range(number, number + b.num_rows), pa.int64())
+            number += b.num_rows
             keys, sizes, prefixes, maps = [], [], [], []
             for t in b.column(2):
                 g = shingles(t.as_py(), shingle)
@@ -464,13 +486,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
             s = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s, pa.array(sizes, pa.int64()), lists, pa.array(maps, pa.binary())], names=["doc_id", "h", "s", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(1), s, pa.array(sizes, pa.int64()), lists, pa.array(maps, pa.binary())], names=schema.names)
 
     each = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(run), schema))
-    sets = each.groupBy("s").agg(F.min("h").alias("h"))
-    lone = each.join(sets, ["s", "h"]).dropDuplicates(["s"])
-    rows = lone.select("s", "n", "prefix").select("s", "n", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "s", "n", F.col("at").cast("long").alias("at"))
+    # rows of equal sets: all but one are left out, and go with that one in the end
+    sets = each.groupBy("s").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    copies = few(durable(each.select("id", "s").join(sets, "s").where("id <> first").select("id", "first")))
+    lone = each.join(copies, "id", "left_anti")
+    rows = lone.select(F.col("id").alias("s"), "n", F.posexplode("prefix").alias("at", "token")).select("token", "s", "n", F.col("at").cast("long").alias("at"))
     shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     rows = durable(rows.join(shared, "token"))
     texts = docs.withColumn("h", F.xxhash64("text"))
@@ -480,6 +503,13 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
             got = pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=["s", "g"])
 
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            i = np.arange(b.num_rows)
+            n = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            both = Bitmaps(b.column(4).to_pylist() + b.column(5).to_pylist())
+            yield b.select([0, 1]).filter(pa.array(both.differ(i, i + b.num_rows) <= most_apart(n, similarity)))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -489,18 +519,23 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    maps = each.select(F.col("id").alias("s"), "n", "bits")
+
     def joined(pairs: DataFrame) -> DataFrame:
-        """The pairs that are that similar."""
-        needed = few(durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets, "s")))
+        """The pairs that are that similar; those whose bitmaps differ too much go before texts are read."""
+        two = pairs.join(maps.toDF("a", "na", "bits_a"), "a").join(maps.toDF("b", "nb", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+        pairs = durable(two.mapInArrow(tidy(plausible), "a long, b long"))
+        needed = few(durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(each.select(F.col("id").alias("s"), "h"), "s")))
         full = durable(texts.join(needed, "h").select("s", "text").dropDuplicates(["s"]).mapInArrow(tidy(whole), "s long, g binary"))
         a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(tidy(compare), "a long, b long")
 
     first = durable(linking_pairs(rows, similarity))
     links_ = durable(joined(first))
-    rest = durable(remaining_pairs(rows, components(links_), lone.select("s", "bits"), similarity).join(first, ["a", "b"], "left_anti"))
+    rest = durable(remaining_pairs(rows, components(links_), maps.drop("n"), similarity).join(first, ["a", "b"], "left_anti"))
     roots = components(links_.union(joined(rest)))
-    return each.join(roots, each["s"] == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
+    own = each.join(copies, "id", "left").select("doc_id", "h", F.coalesce("first", "id").alias("own"))
+    return own.join(roots, F.col("own") == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "own").alias("root"))
 
 
 def keep_first_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
