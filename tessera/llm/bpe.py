@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.functions.shipping import ship
 from tessera.llm.common import tidy
 
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 10_000_000
 #: Rows that go back to Spark at once.
 SLICE = 128
 

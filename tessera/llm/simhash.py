@@ -1,13 +1,16 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints: 64 majority votes over the XXH64 hashes (seed 42) of word shingles. Linking: equal fingerprints are
-one node. Each distinct fingerprint goes to the six pairs out of its four 16-bit blocks; two that differ in at
-most two bits agree in at least two blocks, so they meet, and the first pair in which they agree counts. Within a
-bucket a hierarchical index finds the links: fingerprints sorted by Gray rank, runs of FANOUT under a node
-that holds the bits they share, shared bits factored upwards so that a node keeps what its parent lacks;
-queries go down level by level, add up the differences and leave a whole group once they exceed the limit. A bucket
-gives back a spanning forest of its links. A fingerprint has at most 64 + 2,016 others within two bits, so links
-grow in proportion to distinct fingerprints.
+one node. Of limit + 1 blocks of bits, two fingerprints that differ in at most limit bits agree in one, so there is a table for each
+block, in which fingerprints are turned so that the block leads. A table is one index: fingerprints sorted by Gray rank,
+runs of FANOUT under a node that holds the bits they share, shared bits factored upwards so that a node keeps what
+its parent lacks. Queries go down level by level, add up the differences and leave a whole group once they exceed the limit; a
+difference in the leading block exceeds it at once.
+
+The index is distributed by ranges of Gray rank, PART fingerprints each. Each range's shared bits are the upper nodes (at most
+MAX_PARTS a table, held by all tasks), which are searched for the other ranges that a fingerprint must visit; there are none but where
+one leading block fills several ranges, so a hot block is spread over as many tasks as it needs. A range gives back a spanning forest of its
+links. A fingerprint has at most 64 + 2,016 others within two bits, so links grow in proportion to distinct fingerprints.
 
 `similar` and `keep_first_similar` are for any similarity. A radius of 64 bits that is wide enough for 0.8 (some 10 bits on average,
 16 in the tail) would need blocks too short to part a large table, and would still lose pairs. So their candidates come from
@@ -35,7 +38,8 @@ from tessera.llm.common import durable, few, fresh, partitions_for, tidy
 from tessera.llm.components import components
 
 FANOUT = 8
-SMALL = 16
+#: Distinct fingerprints in a range of the index, and most ranges of a table.
+PART, MAX_PARTS = 1 << 18, 4096
 #: (query, node) pairs held at once while the index is searched.
 FRONT = 2_000_000
 #: Rows of a shingle that meet in one group.
@@ -83,52 +87,71 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_links(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of distinct uint64 x that differ in at most limit bits, by the hierarchical index."""
-    order = np.argsort(gray_rank(x), kind="stable")
-    s = x[order]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    masks, patterns = [np.full(len(s), full)], [s]
-    while len(masks[-1]) > FANOUT:
-        m, p = masks[-1], patterns[-1]
-        starts = np.arange(0, len(m), FANOUT)
-        head = np.repeat(p[starts], np.diff([*starts, len(m)]))
-        shared = np.bitwise_and.reduceat(m & ~(p ^ head), starts)
-        masks.append(shared)
-        patterns.append(p[starts] & shared)
-    #: What a node has beyond its parent.
-    own = [m & ~np.repeat(masks[k + 1], FANOUT)[: len(m)] if k + 1 < len(masks) else m for k, m in enumerate(masks)]
-    found_i, found_j = [], []
-    step = max(1, FRONT // max(len(s), 1))
-    for at in range(0, len(s), step):
-        q = np.arange(at, min(at + step, len(s)))
-        top = len(masks) - 1
-        qi = np.repeat(q, len(masks[top]))
-        node = np.tile(np.arange(len(masks[top])), len(q))
-        acc = np.zeros(len(qi), np.int64)
-        for k in range(top, -1, -1):
-            acc = acc + np.bitwise_count((s[qi] ^ patterns[k][node]) & own[k][node])
-            keep = acc <= limit
-            qi, node, acc = qi[keep], node[keep], acc[keep]
-            if k:
-                n = len(qi)
-                qi, acc = np.repeat(qi, FANOUT), np.repeat(acc, FANOUT)
-                node = np.repeat(node * FANOUT, FANOUT) + np.tile(np.arange(FANOUT), n)
-                there = node < len(masks[k - 1])
-                qi, node, acc = qi[there], node[there], acc[there]
-        later = node > qi
-        found_i.append(order[qi[later]])
-        found_j.append(order[node[later]])
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-BLOCKS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-
-
-def first_agreement(d: np.ndarray) -> np.ndarray:
-    """Of the xor of two fingerprints: the first of BLOCKS in which both blocks are equal (6: none)."""
-    same = [(d >> np.uint64(16 * i)) & np.uint64(0xFFFF) == 0 for i in range(4)]
-    return np.select([same[i] & same[j] for i, j in BLOCKS], range(6), 6)
+class Tree:
+    """Masked bit patterns in Gray order under nodes of what FANOUT of them share."""
+
+    def __init__(self, masks: np.ndarray, patterns: np.ndarray):
+        levels, self.patterns = [masks], [patterns]
+        while len(levels[-1]) > FANOUT:
+            m, p = levels[-1], self.patterns[-1]
+            starts = np.arange(0, len(m), FANOUT)
+            head = np.repeat(p[starts], np.diff([*starts, len(m)]))
+            shared = np.bitwise_and.reduceat(m & ~(p ^ head), starts)
+            levels.append(shared)
+            self.patterns.append(p[starts] & shared)
+        #: What a node has beyond its parent.
+        self.own = [m & ~np.repeat(levels[k + 1], FANOUT)[: len(m)] if k + 1 < len(levels) else m for k, m in enumerate(levels)]
+
+    def search(self, queries: np.ndarray, limit: int, lead: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) index pairs that differ in at most limit shared bits and in none of lead."""
+        top = len(self.own) - 1
+        roots = len(self.own[top])
+        step = max(1, FRONT // max(roots, 1))
+        for lo in range(0, len(queries) if roots else 0, step):
+            n = min(step, len(queries) - lo)
+            todo = [(top, np.repeat(np.arange(lo, lo + n), roots), np.tile(np.arange(roots), n), np.zeros(n * roots, np.int64))]
+            while todo:
+                k, q, node, acc = todo.pop()
+                apart = (queries[q] ^ self.patterns[k][node]) & self.own[k][node]
+                acc = acc + np.bitwise_count(apart) + (limit + 1) * ((apart & lead) != 0)
+                keep = acc <= limit
+                q, node, acc = q[keep], node[keep], acc[keep]
+                if not k:
+                    yield q, node
+                    continue
+                for at in range(0, len(q), FRONT // FANOUT):
+                    some = slice(at, at + FRONT // FANOUT)
+                    child = (node[some, None] * FANOUT + np.arange(FANOUT)).ravel()
+                    there = child < len(self.own[k - 1])
+                    todo.append((k - 1, np.repeat(q[some], FANOUT)[there], child[there], np.repeat(acc[some], FANOUT)[there]))
+
+
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def index_links(x: np.ndarray, guests: np.ndarray, limit: int, lead: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of distinct x, and of guests with x, that differ in at most limit bits and in none of lead."""
+    s = x[np.argsort(gray_rank(x), kind="stable")]
+    tree = Tree(np.full(len(s), _FULL), s)
+    a, b = [s[:0]], [s[:0]]
+    for q, leaf in tree.search(s, limit, lead):
+        later = leaf > q
+        a.append(s[q[later]])
+        b.append(s[leaf[later]])
+    for q, leaf in tree.search(guests, limit, lead):
+        a.append(guests[q])
+        b.append(s[leaf])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def tables(limit: int) -> list[tuple[np.uint64, np.uint64]]:
+    """For each of limit + 1 blocks: by how much to turn a fingerprint left so that the block leads, and the block's mask then."""
+    edges = [64 * k // (limit + 1) for k in range(limit + 2)]
+    return [(np.uint64(lo), _FULL << np.uint64(64 - (hi - lo))) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _turn(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    return x << by | x >> np.uint64(64) - by if by else x
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,58 +172,77 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[label[own]]
 
 
-def _bucket_links(pair: np.ndarray, key: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole buckets that lie one after the other."""
-    cuts = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])])
-    sizes = np.diff(np.r_[cuts, len(fp)])
-    out_a, out_b = [], []
-    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
-        rows = fp[cuts[sizes == n][:, None] + np.arange(n)]
-        kind = pair[cuts[sizes == n]]
-        for i in range(n - 1):
-            d = rows[:, i + 1 :] ^ rows[:, i : i + 1]
-            ok = (np.bitwise_count(d) <= limit) & (first_agreement(d) == kind[:, None])
-            r, c = np.nonzero(ok)
-            out_a.append(rows[r, i])
-            out_b.append(rows[r, c + i + 1])
-    for c, n in zip(cuts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        x = fp[c : c + n]
-        i, j = index_links(x, limit)
-        own = first_agreement(x[i] ^ x[j]) == pair[c]
-        out_a.append(x[i[own]])
-        out_b.append(x[j[own]])
-    if not out_a:
-        return fp[:0], fp[:0]
-    return forest(np.concatenate(out_a), np.concatenate(out_b))
-
-
-def links(distinct: DataFrame, limit: int = 2) -> DataFrame:
-    """(a, b) long: links that join whatever distinct(fp) has within limit (2 at most) differing bits."""
-    if not 0 <= limit <= 2:
-        raise ValueError("four blocks find up to two differing bits")
-    ship(distinct.sparkSession)
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(*[F.struct(F.lit(n).alias("pair"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("key")) for n, (i, j) in enumerate(BLOCKS)])
-    dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.pair", "k.key", "fp")
-    dealt = dealt.repartition(partitions_for(distinct.sparkSession), "pair", "key").sortWithinPartitions("pair", "key")
+def links(distinct: DataFrame, limit: int = 2, part: int = PART) -> DataFrame:
+    """(a, b) long: links that join whatever distinct(fp) has within limit differing bits."""
+    if not 0 <= limit <= 7:
+        raise ValueError("blocks would be too short for more than seven differing bits")
+    spark = distinct.sparkSession
+    ship(spark)
+    turns = tables(limit)
+    flip = np.uint64(1 << 63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.asarray(b.column(0)).view(np.uint64)
+            for k, (by, _) in enumerate(turns):
+                x = _turn(fp, by)
+                rank = (gray_rank(x) ^ flip).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(rank), pa.array(x.view(np.int64))], names=["k", "rank", "x"])
+
+    rows = durable(distinct.mapInArrow(tidy(turned), "k int, rank long, x long"))
+    parts = min(MAX_PARTS, max(1, -(-rows.where("k = 0").count() // part)))
+    at = [i / parts for i in range(1, parts)]
+    cuts = {r["k"]: np.unique(np.array(r["c"], np.int64)) for r in rows.groupBy("k").agg(F.percentile_approx("rank", at, 10_000).alias("c")).collect()} if at else {}
+    none = np.empty(0, np.int64)
+
+    def own_part(k: int, rank: np.ndarray) -> np.ndarray:
+        return k * MAX_PARTS + np.searchsorted(cuts.get(k, none), rank, side="left")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            end = last[-1] + 1 if len(last) else 0
-            if end:
-                yield out(*_bucket_links(*[x[:end] for x in held], limit))
-                held = [x[end:] for x in held]
-        if len(held[0]):
-            yield out(*_bucket_links(*held, limit))
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return dealt.mapInArrow(tidy(run), "a long, b long")
+            k, rank = np.asarray(b.column(0)), np.asarray(b.column(1))
+            of = np.empty(len(k), np.int64)
+            for n in range(len(turns)):
+                of[k == n] = own_part(n, rank[k == n])
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), b.column(2)], names=["part", "x"])
+
+    rows = durable(rows.mapInArrow(tidy(placed), "part int, x long"))
+    # a row for each range: at most MAX_PARTS a table
+    upper = rows.groupBy("part").agg(F.bit_and("x").alias("all"), F.bit_or("x").alias("any")).orderBy("part").collect()
+    parted = np.array([r["part"] for r in upper], np.int64)
+    every, some = (np.array([r[c] for r in upper], np.int64).view(np.uint64) for c in ("all", "any"))
+    nodes = [np.flatnonzero(parted // MAX_PARTS == n) for n in range(len(turns))]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [Tree(~(every[i] ^ some[i]), every[i]) for i in nodes]
+        for b in batches:
+            of, x = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
+            yield out(of, np.zeros(len(of), np.int32), x)
+            for n, tree in enumerate(trees):
+                mine = np.flatnonzero(of // MAX_PARTS == n)
+                for q, leaf in tree.search(x[mine], limit, turns[n][1]):
+                    to = parted[nodes[n][leaf]]
+                    # of two ranges the lower one's fingerprints visit
+                    go = to > of[mine[q]]
+                    yield out(to[go], np.ones(int(go.sum()), np.int32), x[mine[q[go]]])
+
+    def out(to: np.ndarray, guest: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(guest), pa.array(x.view(np.int64))], names=["part", "guest", "x"])
+
+    dealt = rows.mapInArrow(tidy(sent), "part int, guest int, x long")
+    dealt = dealt.repartition(max(partitions_for(spark), min(len(upper), 8 * partitions_for(spark))), "part").sortWithinPartitions("part")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            of, guest, x = np.asarray(columns[0]), np.asarray(columns[1]) > 0, np.asarray(columns[2]).view(np.uint64)
+            for n in np.unique(of):
+                mine = of == n
+                by, lead = turns[n // MAX_PARTS]
+                a, b = index_links(x[mine & ~guest], x[mine & guest], limit, lead)
+                a, b = forest(_turn(a, (np.uint64(64) - by) % np.uint64(64)), _turn(b, (np.uint64(64) - by) % np.uint64(64)))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return dealt.mapInArrow(tidy(found), "a long, b long")
 
 
 def hexed(fp: Column) -> Column:

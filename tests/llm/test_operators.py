@@ -151,7 +151,10 @@ def test_simhash(spark, folder, sf_dir, which):  # noqa: ANN001, ANN201
     assert Counter(tuple(r) for r in queries.op5_simhash(spark, d).select("doc_id", "fingerprint", "component_id").collect()) == want
 
 
-def test_simhash_links_all_within_two_bits(spark):  # noqa: ANN001, ANN201
+@pytest.mark.parametrize("part", [simhash.PART, 100])
+@pytest.mark.parametrize("limit", [1, 2, 4])
+def test_simhash_links_all_within_the_limit(spark, part, limit):  # noqa: ANN001, ANN201
+    """One range a table and many; 400 fingerprints share a leading block, so that in ranges of 100 their links cross ranges."""
     gen = np.random.default_rng(3)
     heads = gen.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(h) for h in heads}
@@ -161,12 +164,17 @@ def test_simhash_links_all_within_two_bits(spark):  # noqa: ANN001, ANN201
             for b in gen.integers(0, 64, gen.integers(1, 4)):
                 x ^= 1 << int(b)
             fps.add(x)
-    fps = sorted(fps)
-    of = plain.classes(fps)
+    for _ in range(400):
+        x = int(heads[0])
+        for b in gen.integers(22, 64, gen.integers(1, 6)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps = sorted(fps | {0, (1 << 64) - 1})
+    of = plain.classes(fps, limit)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     from tessera.llm.components import components
 
-    roots = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    roots = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long"), limit, part)).collect()}
     groups = defaultdict(set)
     for (s,), c in zip(signed, of):
         groups[c].add(roots.get(s, s))
