@@ -290,6 +290,42 @@ def test_nearest_over_shards(spark):  # noqa: ANN001, ANN201
     assert hit / (200 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("shards", [1, 4])
+def test_recall_on_the_generated_vectors(spark, shards):  # noqa: ANN001, ANN201
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in df.collect()]
+    ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = defaultdict(set)
+    for r in hnsw.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=-(-len(rows) // shards)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in got:
+        s = m @ m[ids == q][0]
+        s[ids == q] = -np.inf
+        hit += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert len(got) == (ids % 20 == 0).sum() and hit / (20 * len(got)) >= 0.95
+
+
+def test_equal_vectors_and_doubles(spark):  # noqa: ANN001, ANN201
+    """A third of the vectors are equal: the smallest ids of them come first; doubles that floats can't tell apart are told apart."""
+    gen = np.random.default_rng(11)
+    m = gen.normal(size=(900, 8))
+    m[:300] = 10 * m[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (0, 20, 280):
+        assert [v for v, _ in got[q]] == [i for i in range(22) if i != q][:20]
+    for q in (400, 880):
+        s = m @ m[q]
+        s[q] = -np.inf
+        want = [int(i) for i in np.lexsort((np.arange(900), -s))[:20]]
+        assert len(set(want) & {v for v, _ in got[q]}) >= 18
+    fine = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0 + 1e-12, 0.0]), (3, [1.0 + 2e-12, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in hnsw.nearest(fine, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(3, 1.0 + 2e-12), (2, 1.0 + 1e-12), (1, 1.0)]
+
+
 def test_sharding(spark, docs):  # noqa: ANN001, ANN201
     limit = 600
     rows = _rows(sharding.assign(docs, limit))
