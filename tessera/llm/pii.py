@@ -1,9 +1,11 @@
 """Personal data: regular expressions propose, checksums confirm, context words adjust the score.
 
 The base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per kind; a match that fails its
-check is dropped without a retry. IBANs (length by country,
-mod-97; each head is tried, whatever stands before or after) and social security numbers (context words only) are added.
-All of it is built-in functions: the pieces between matches and the matches themselves give the offsets.
+check is dropped without a retry. Three kinds are added, which the score decides about: a pattern gives FOUND, a check what CHECKED says, a context word
+near it NEAR, and a span stays from KEEP on. So IBANs (length by country, mod-97; each head is tried, whatever stands before or
+after) need no context, social security numbers need it, and secrets (keys and tokens) need a known form or many different
+characters and context. The score of every span is returned, the base kinds' too, whatever it is.
+All of it is built-in functions: the pieces between matches and the matches themselves give the offsets and the context.
 The patterns below equal the plain ones of the base kinds, but are possessive and start at the head of a
 run of their characters, so that long unbroken runs cost linear time and no recursion.
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -30,6 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: Length of an IBAN by country; in the text it may be parted by a space after each four characters.
 IBAN_LENGTHS = {
@@ -38,7 +41,7 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 #: A text without a match of this has no span of the kind; far cheaper than the pattern itself.
-GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
 CONTEXT = {
     "email": "mail|contact|write|correo|courriel",
     "ip": "server|host|address|login|ip",
@@ -46,9 +49,14 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|cell",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security|tax id|taxpayer",
+    "secret": "token|secret|api|key|passw|pwd|auth|bearer|credential|clave|geheim|schlüssel|jeton",
 }
-#: Scores: by the pattern, added by a checksum, added by a context word within REACH code points.
-FOUND, CHECKED, NEAR, KEEP, REACH = 0.5, 0.4, 0.35, 0.75, 40
+#: Scores: by the pattern, added by a context word within REACH code points before or half as many after; what stays.
+FOUND, NEAR, KEEP, REACH = 0.5, 0.35, 0.75, 40
+#: Added by the check of a kind.
+CHECKED = {"email": 0.4, "ip": 0.4, "card": 0.4, "phone": 0.4, "iban": 0.4, "ssn": 0.0, "secret": 0.2}
+#: Forms of keys and tokens that need no context; they add what a checksum does. A secret has so many different characters.
+KNOWN_SECRET, DIFFERENT = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(?:live|test)_[A-Za-z0-9]{16,}$", 10
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -75,6 +83,7 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
     "iban": lambda m: F.length(F.regexp_replace(m, " ", "")).between(15, 34) & _mod97(m),
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.substring(m, 1, 128), ""))) >= DIFFERENT),
 }
 
 
@@ -97,12 +106,14 @@ def _iban(rest: Column) -> Column:
     return F.when(rest.rlike(f"^(?:{codes})"), F.regexp_extract(rest, f"^(?:{listed})", 0)).otherwise(F.coalesce(longest, F.lit("")))
 
 
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, rank, end, kind, score>> of one kind."""
+    """SPANS of one kind."""
     pattern, rank = PATTERNS[kind], KINDS.index(kind)
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind_of = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
     def step(acc: Column, x: Column) -> Column:
         if kind != "iban":
@@ -113,26 +124,30 @@ def _spans(text: Column, kind: str) -> Column:
     def one(acc: Column, x: Column, m: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(m), F.lit(0))
-        around = F.concat(
-            F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))), F.lit(" "), F.substring(text, end + 1, F.lit(REACH // 2))
-        )
+        before = F.substring(F.concat(acc["tail"], x["p"]), -REACH, REACH)
+        around = F.concat(before, F.lit(" "), F.substring(F.coalesce(x["q"], F.lit("")), 1, REACH // 2))
         near = F.lower(around).rlike(rf"\b(?:{CONTEXT[kind]})")
-        sure = 0.0 if kind == "ssn" else CHECKED
-        score = F.lit(FOUND + sure) + F.when(near, NEAR).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
+        sure = F.lit(CHECKED[kind])
+        if kind == "secret":
+            sure = F.when(m.rlike(KNOWN_SECRET), CHECKED["card"]).otherwise(sure)
+        score = F.least(F.lit(1.0), FOUND + sure + F.when(near, NEAR).otherwise(0.0))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         good = x["h"].isNotNull() & CHECKS[kind](m)
-        if kind == "ssn":
-            good = good & near
+        if kind not in BASE:
+            good = good & (score >= KEEP)
         if kind == "iban":
             good = good & (start >= F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)))
-        return F.struct((start + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        h = F.coalesce(x["h"], F.lit(""))
+        return F.struct(
+            (start + F.length(h)).alias("at"), F.substring(F.concat(before, h), -REACH, REACH).alias("tail"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")
+        )
 
-    zipped = F.arrays_zip(pieces.alias("p"), hits.alias("h"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out"))
-    guard = text.contains(GUARDS[kind]) if GUARDS[kind] else text.rlike("[0-9][0-9]" if kind == "iban" else "[0-9][ -]?[0-9]")
+    zipped = F.arrays_zip(pieces.alias("p"), hits.alias("h"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPANS).alias("out"))
+    guard = text.contains(GUARDS[kind]) if GUARDS[kind] else text.rlike("[0-9][ -]?[0-9]" if kind == "card" else "[0-9][0-9]" if kind == "iban" else "[0-9]")
     if kind in ("ip", "ssn"):
         guard = guard & text.rlike("[0-9]")
-    return F.when(guard & text.rlike(pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind_of))
+    return F.when(guard & text.rlike(pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
 
 def detect(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
@@ -140,7 +155,7 @@ def detect(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFram
     t = text_or_empty(text)
     found = F.concat(*[_spans(t, k) for k in KINDS])
     #: Texts without a digit or an @ hold nothing of any kind.
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
+    none = F.array().cast(SPANS)
     return docs.withColumn(into, F.array_sort(F.when(t.rlike("[0-9@]"), found).otherwise(none)))
 
 
@@ -149,6 +164,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scored(spans: Column) -> Column:
+    """The spans' scores, comma-joined, with two decimals."""
+    return F.array_join(F.transform(spans, lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",")
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans become one. Null stays null."""
     t = F.col(text)

@@ -26,8 +26,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(rank: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
 
-    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    spans = F.col("spans")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), pii.scored(spans).alias("scores"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,27 @@ def test_pii(spark, folder, sf_dir, which):  # noqa: ANN001, ANN201
     assert got == want
 
 
+def test_pii_score_decides_about_added_kinds(spark):  # noqa: ANN001, ANN201
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [
+        f'token = "{key}" here', f"the run {key} alone", "AKIA" + "Z7Q2M9X4B8C1D6F3" + " alone", "token = " + "ab" * 20, "ssn 123-45-6789", "no words 123-45-6789",
+        "GB29 NWBK 6016 1331 9268 19", "GB29 NWBK 6016 1331 9268 18", "card 4111 1111 1111 1111", "x" * 50_000 + f" api key {key} " + "9" * 50_000, f"é token {key}-{key}",
+    ]
+    got = [(r["spans"], r["scores"]) for r in queries.op2_pii(spark, _folder(spark, rows)).orderBy("doc_id").collect()]
+    ends = len("token = ") + 1
+    assert got[0] == (f"secret:{ends}:{ends + 40}", "1.00") and got[1] == ("", "") and got[2] == ("secret:0:20", "0.90") and got[3] == ("", "")
+    assert got[4] == ("ssn:4:15", "0.85") and got[5] == ("", "") and got[6] == ("iban:0:27", "0.90") and got[7] == ("", "")
+    assert got[8] == ("card:5:24", "1.00") and got[9] == ("secret:50009:50049", "1.00") and got[10] == ("secret:8:89", "1.00")
+
+
+def _folder(spark, texts):  # noqa: ANN001, ANN202
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
 def test_pii_redacts(spark, docs):  # noqa: ANN001, ANN201
     made = pii.redact(docs)
     assert made.columns == docs.columns
