@@ -4,10 +4,11 @@ A document's hash is 60 bits of the MD5 of its id. Bytes are summed per prefix o
 even spread would need; from these sums each bucket's depth follows: it splits on another bit as long as its bytes
 exceed the limit. Where buckets are still too large at that depth, only their documents are summed again with more
 bits. Documents that no bit can part (equal ids) are filled one after the other into numbered parts of the last
-bucket, none above the limit. A document above the limit fills a shard of its own.
+bucket, none above the limit; numbers may be left out. A document above the limit fills a shard of its own.
 
-Defined cases: null text has 0 bytes; a null id hashes as an empty one; equal ids go by bytes, then text hash;
-repeated rows are documents of their own; an empty table has no shards; other columns can be joined by id.
+Defined cases: null text has 0 bytes; a null id hashes as an empty one; equal ids go by a hash of id and text;
+repeated rows are documents of their own; texts of any length count whole; an empty table has no shards; other columns can be joined by id,
+and aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessera.llm.common import durable, text_or_empty
 
 BITS = 60
 SLACK = 4
+#: Ranges in which the bytes of one hash are added up.
+CHUNKS = 4096
 
 
 def hash_bits(key: Column) -> Column:
@@ -48,7 +51,7 @@ def directory(rows: DataFrame, limit: int, start: int, depth: int) -> DataFrame:
 def assign(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     """(doc_id, bytes, depth, prefix, part) for each row; (depth, prefix, part) names its shard.
 
-    prefix is the bucket's leading bits as a binary string of `depth` digits; part is 0 except for equal hashes.
+    prefix is the bucket's leading bits as a binary string of `depth` digits; part is 0 except for equal hashes, whose parts may leave numbers out.
     """
     if limit < 1:
         raise ValueError("the limit must be positive")
@@ -75,13 +78,32 @@ def assign(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     named = out.withColumn("prefix", bits)
     if not last:
         return named.select("doc_id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"))
-    before = Window.partitionBy("h").orderBy("doc_id", "bytes", "x").rowsBetween(Window.unboundedPreceding, 0)
-    # a document that crosses a multiple of the running bytes is alone in its part; those between two multiples share one
-    end = F.sum("bytes").over(before)
+    fill = _filled(named.where("over"), limit)
+    return named.where("not over").withColumn("part", F.lit(0).cast("long")).select("doc_id", "bytes", "depth", "prefix", "part").union(fill)
+
+
+def _filled(rows: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, bytes, depth, prefix, part) of rows whose hashes are equal in all bits: parts of each hash, filled one after the other.
+
+    A document that crosses a multiple of the running bytes is alone in its part; those between two multiples share one. The running
+    bytes come from sums: identical rows are one row of a count, those of a hash are added up in CHUNKS ranges, and identical
+    rows are numbered by input partition, so no hash, however frequent, is sorted in one task.
+    """
+    rows = durable(rows.withColumn("_pid", F.spark_partition_id()).withColumn("_k", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "x")))
+    same = ["h", "_k", "bytes"]
+    per = durable(rows.groupBy(*same, "_pid").agg(F.count("*").alias("c")))
+    sums = durable(per.groupBy(*same).agg(F.sum(F.col("c") * F.col("bytes")).alias("w")).withColumn("_chunk", F.shiftright("_k", 64 - CHUNKS.bit_length() + 1)))
+    before = lambda w: F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    chunks = sums.groupBy("h", "_chunk").agg(F.sum("w").alias("w")).select("h", "_chunk", before(Window.partitionBy("h").orderBy("_chunk")).alias("_low"))
+    starts = sums.withColumn("_high", before(Window.partitionBy("h", "_chunk").orderBy("_k", "bytes"))).join(chunks, ["h", "_chunk"])
+    starts = starts.select(*same, (F.col("_low") + F.col("_high")).alias("_start"))
+    first = F.coalesce(F.sum("c").over(Window.partitionBy(*same).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    firsts = per.withColumn("_first", first).drop("c")
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*same, "_pid").orderBy("doc_id")))
+    placed = own.join(firsts, [*same, "_pid"]).join(starts, same)
+    end = F.col("_start") + (F.col("_first") + F.col("_n")) * F.col("bytes")
     cell = F.floor((end - F.col("bytes")) / limit)
-    fill = named.where("over").withColumn("_place", 2 * cell + (end > (cell + 1) * limit).cast("long"))
-    fill = fill.withColumn("part", (F.dense_rank().over(Window.partitionBy("h").orderBy("_place")) - 1).cast("long")).drop("_place")
-    return named.where("not over").withColumn("part", F.lit(0).cast("long")).union(fill).select("doc_id", "bytes", "depth", "prefix", "part")
+    return placed.select("doc_id", "bytes", "depth", "prefix", (2 * cell + (end > (cell + 1) * limit).cast("long")).alias("part"))
 
 
 def oracle(limit: int, deepest: int = 24) -> str:
