@@ -13,11 +13,12 @@ offset, so nothing is lost by looking at suffixes that start at anchors (about o
    its winner, the longer one wins unseen, and only bytes beyond a tie are compared. It yields the suffix array of the
    range with its common-prefix array.
 4. For each offset of a window to its anchor, neighbours with a long enough common prefix form a block, and within a
-   block windows are equal if the bytes before the anchor are (a 64-bit rolling hash of them is compared).
+   block windows are equal if the bytes before the anchor are: these are sorted once, and their common prefixes tell for every offset.
 5. The repeated spans go back to their texts and are cut. Texts are shuffled once; both joins read that exchange.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep everything; overlapping copies within one text count;
-repeated rows repeat each other, whatever their ids; texts are judged as UTF-8 bytes, so what is kept is bytes.
+repeated rows repeat each other, whatever their ids; texts are judged as UTF-8 bytes, so what is kept is bytes; texts of any length are read
+whole; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,10 +144,14 @@ def settle(keys: np.ndarray, common: np.ndarray, many: np.ndarray) -> np.ndarray
     out = np.zeros((n, GRAMS), bool)
     near = common.astype(np.int64) - HEAD
     near[0] = -1
-    before = np.zeros(n, np.uint64)
+    # the bytes before the anchors, sorted: neighbours with o bytes in common are of one class at offset o
+    back = keys[:, HEAD + LENGTH : -2]
+    flat = back.tobytes()
+    by_back = np.array(sorted(range(n), key=[flat[i : i + BEFORE] for i in range(0, len(flat), BEFORE)].__getitem__), np.int64)
+    common_back = common_prefixes(back[by_back])
+    kind = np.empty(n, np.int64)
     for o in range(GRAMS):
-        if o:
-            before = (before + _TABLE[keys[:, HEAD + LENGTH + o - 1]]) * _M
+        kind[by_back] = np.cumsum(common_back < o)
         block = np.cumsum(near < LENGTH - o)
         sel = (lo <= o) & (o <= hi)
         out[:, o] = sel & many
@@ -157,7 +162,7 @@ def settle(keys: np.ndarray, common: np.ndarray, many: np.ndarray) -> np.ndarray
         sel = sel[np.bincount(b)[b] > 1]
         if len(sel) < 2:
             continue
-        x = (before[sel] ^ (before[sel] >> np.uint64(31))) * _MIX + block[sel].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        x = block[sel] * (n + 1) + kind[sel]
         order = np.argsort(x, kind="stable")
         same = x[order][1:] == x[order][:-1]
         twin = np.r_[same, False] | np.r_[False, same]
@@ -446,7 +451,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     sent = texts_by_key.join(found.hint("merge"), "rk").select("rk", "h", "text", "grams").mapInArrow(tidy(runs), FIELDS)
     dealt = sent.repartition(parts, F.when(F.col("part") < 0, F.col("rk")).otherwise(F.col("part"))).sortWithinPartitions("part", "run", "seq")
     spans = dealt.mapInArrow(tidy(_reduce), FIELDS).groupBy("rk", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(F.col("rk"), F.col("h").alias("_h"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,7 +470,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans_out, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = texts_by_key.join(spans.hint("merge"), "rk", "left").where("_h is null or _h = h")
+    # h is compared too, in a form that isn't a join key: so the texts' exchange by rk serves both joins
+    spans = spans.toDF("_rk", "_h", "spans").hint("merge")
+    joined = texts_by_key.join(spans, (F.col("rk") == F.col("_rk")) & (F.col("h").bitwiseXOR(F.col("_h")) == 0), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
