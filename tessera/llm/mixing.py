@@ -2,7 +2,8 @@
 
 Every source gets a target in words. A document's expected number of copies is target / source_size; the whole
 part of it is certain, and what is left of the target is drawn: documents are ranked by random odds
-divided by inclusion odds (U/(1-U)) / (p/(1-p)), and the first ones are taken until the words are used up.
+divided by inclusion odds (U/(1-U)) / (p/(1-p)), and the first ones are taken until the words are used up; then the next by rank if that
+ends nearer to the target (of small sources, where one document is much of the target, one of the AHEAD next).
 Inclusion odds are those of the residual fraction of the source, tilted by size so that documents shorter
 than their source's mean are likelier (by 4 at most); the common factor cancels within a source.
 
@@ -11,7 +12,7 @@ per (source, bin) are pre-aggregated, and only the one bin in which the target i
 
 Defined cases: null text and null source are an empty text and a source of its own (last); empty
 documents have size 0 and taken 0; equal ranks go by doc_id, then size, then row; repeated rows
-are documents of their own; an empty table gives an empty result; other columns pass through `expand`.
+are documents of their own; texts of any length count whole; an empty table gives an empty result; other columns pass through `expand`.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable, fresh, word_count
 
 RANK_BINS = 4096
+#: Documents after the cut that may fill what is left of the target, and what part of it may stay open.
+AHEAD, NEAR = 64, 0.01
 #: Largest factor by which a document's size tilts its inclusion odds.
 TILT = 4.0
 
@@ -100,11 +103,13 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, se
         .withColumn("_drawn", F.when(F.col("_rank").isNull(), 0).when(F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut")), 1).otherwise(F.coalesce(F.col("_in"), F.lit(0))))
     )
     got = durable(got.drop("_in"))
+    # of the next documents by rank, the first with which the total ends NEAR the target is the last one drawn, or else the one that ends nearest
+    by_rank = Window.partitionBy("source").orderBy("_rank", "doc_id", "size", "_row")
+    ahead = got.where((F.col("_drawn") == 0) & F.col("_rank").isNotNull()).select("source", "_rank", "doc_id", "size", "_row", "_gap", "target")
+    ahead = ahead.withColumn("_n", F.row_number().over(by_rank)).where(F.col("_n") <= AHEAD)
     off = F.abs(F.col("size") - F.col("_gap"))
-    last = got.where((F.col("_drawn") == 0) & F.col("_rank").isNotNull() & (off < F.col("_gap"))).groupBy("source").agg(
-        F.min(F.struct(off.alias("a"), F.col("_rank").alias("b"), F.col("doc_id").alias("c"), F.col("_row").alias("d"))).alias("m")
-    )
-    got = got.join(last.select(F.col("m.d").alias("_row"), F.lit(1).alias("_last")), "_row", "left")
+    last = ahead.where(off < F.col("_gap")).groupBy("source").agg(F.min_by("_row", F.struct(F.when(off > NEAR * F.col("target"), off).otherwise(0.0), "_n")).alias("_row"))
+    got = got.join(last.select("_row", F.lit(1).alias("_last")), "_row", "left")
     copies = F.col("_whole") + F.col("_drawn") + F.coalesce(F.col("_last"), F.lit(0))
     return got.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_key")
 
