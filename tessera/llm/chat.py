@@ -7,8 +7,8 @@ every conversation shares costs a row a task, and an anti-join keeps the maximal
 
 Defined cases: turns go by turn (null first), then role, then text; identical rows of a conversation are one turn; null
 role and text are null in the hash (not empty) and render as empty; a null conv_id is a conversation of its own;
-of equal conversations the smallest conv_id (null first) stays; an empty table gives an empty result; a turn's
-text can't forge markers, as "<|" in it becomes "< |".
+of equal conversations the smallest conv_id (null first) stays; texts of any length count whole; other columns are not read, whatever their
+names; an empty table gives an empty result; a turn's text can't forge markers, as "<|" in it becomes "< |".
 """
 
 from __future__ import annotations

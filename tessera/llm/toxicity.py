@@ -9,7 +9,7 @@ than a fifth of its letters or of which less than WEAK is there. A document's ke
 largest; rows are multiplied by the inverse root of the landmarks' kernel matrix (Nyström) and a linear machine with squared hinge loss,
 solved by Newton steps, is trained on them; a logistic curve turns margins into scores.
 
-Training takes at most SAMPLE labelled rows of each class, by the hash of their ids: the only bounded sample here. Every document is scored
+Training takes at most SAMPLE labelled rows of each class, by the hash of their ids, of texts of up to SAMPLE_CHARS: the only bounded sample here. Every document is scored
 whole. Workers remember words (emptied beyond CACHE_CHARS and at the end of a task, which changes only time).
 
 Defined cases: null and empty texts score like texts without words; a null doc_id is held in or out as an empty string;
@@ -35,6 +35,8 @@ from tessera.functions.shipping import ship
 from tessera.llm.common import tidy
 
 SAMPLE, LANDMARKS, RARE = 2500, 40, 50
+#: Longest text that training takes, in characters; with SAMPLE it bounds what the driver gathers.
+SAMPLE_CHARS = 50_000
 ORDER, DECAY, WEAK, STRONG = 3, 0.6, 0.4, 0.9
 #: Lengths of landmarks; words are looked at in windows of so many characters, each overlapping the next by half.
 SHORT, LONG, WINDOW = 4, 8, 24
@@ -259,6 +261,7 @@ def gist(text: str | None) -> int:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of each class out of the rows that aren't held out."""
+    docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     there = known.join(docs.select("doc_id").distinct(), "doc_id")
     counts = {r["toxic"]: r["count"] for r in there.groupBy("toxic").count().collect()}

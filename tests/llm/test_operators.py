@@ -223,7 +223,7 @@ def test_toxicity_on_held_out_labels(spark):  # noqa: ANN001, ANN201
     labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     got = queries.op6_toxicity(spark, d).where("held_out").join(labels, "doc_id").where("toxic is not null").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     rate = {r["toxic"]: r["p"] for r in got}
-    assert rate[1] >= 0.88 and rate[0] <= 0.02
+    assert rate[1] >= 0.9 and rate[0] <= 0.02
 
 
 def test_toxicity_kernel():  # noqa: ANN201
