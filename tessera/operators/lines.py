@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import reductions as R
 from tessera.functions.canvas import Canvas
 from tessera.operators import segments as S
-from tessera.plans.aggregate import Grid, reduce_pixels
+from tessera.plans.aggregate import Grid, categorized, joined, reduce_pixels
 
 
 def walk(segs: DataFrame, canvas: Canvas) -> DataFrame:
@@ -72,38 +71,66 @@ def coverage(segs: DataFrame, canvas: Canvas, width: float, overwrite: bool) ->
     return at.where((F.col("aa") > 0) & (F.col("aa") > F.col("prev_aa")))
 
 
-@dataclass(frozen=True)
-class Two:
-    """How an antialiased reduction works: within a line (sum or max of value x coverage), then across lines."""
+#: How plain reductions combine lines; within a line, the largest value x coverage counts (or sums without what overlaps).
+ACROSS = {R.count: "sum", R.sum: "sum", R.any: "max", R.max: "max", R.min: "min", R.first: "first", R.last: "last", R.mean: "mean"}
 
-    within: str
-    across: str
 
-
-def _antialiased(segs: DataFrame, canvas: Canvas, agg: R.Reduction, width: float, line: list[str], self_intersect: bool) -> Grid:
-    plans = {R.count: "sum", R.sum: "sum", R.any: "max", R.max: "max", R.min: "min", R.first: "first", R.last: "last", R.mean: "mean"}
-    if type(agg) not in plans:
+def _antialiased(segs: DataFrame, canvas: Canvas, agg: R.Reduction, width: float, line: list[str], self_intersect: bool, keys: Sequence[str] = (), name: str = "value") -> Grid:
+    """Aggregate wide segments by pixel and keys; a summary's parts are computed each on its own."""
+    again = lambda part, rows=segs, more=(), n=name: _antialiased(rows, canvas, part, width, line, self_intersect, [*keys, *more], n)
+    if isinstance(agg, R.summary):
+        return joined({n: again(part, n=n) for n, part in agg.parts.items()})
+    if isinstance(agg, R.by):
+        rows, layers = categorized(segs, agg)
+        inner = again(agg.reduction, rows, ("cat",))
+        return Grid(inner.df, canvas, inner.values, inner.layers | {"cat": layers})
+    if isinstance(agg, (R.where, R.Ranked)):
+        return _ranked(coverage(segs, canvas, width, overwrite=True), canvas, agg, line, keys, name)
+    if type(agg) not in ACROSS:
         raise NotImplementedError(f"antialiased lines can't have {type(agg).__name__}")
-    how = plans[type(agg)]
+    how = ACROSS[type(agg)]
     once = self_intersect and how in ("sum", "mean")
     cover = coverage(segs, canvas, width, overwrite=not once)
     value = F.lit(1.0) if agg.column is None or isinstance(agg, (R.count, R.any)) else agg.v
     if agg.column is not None:
         cover = cover.where(agg.v.isNotNull())
-    keys = ["py", "px"]
+    pixel, layers = ["py", "px", *keys], {k: [] for k in keys}
     if once:
         total = F.sum(value * (F.col("aa") - F.col("prev_aa")))
         out = total / F.nullif(F.count(F.when(F.col("prev_aa") == 0, 1)), F.lit(0)) if how == "mean" else total
-        return Grid(cover.groupBy(*keys).agg(out.alias("value")), canvas, {"value": agg.empty}, {})
+        return Grid(cover.groupBy(*pixel).agg(out.alias(name)), canvas, {name: agg.empty}, layers)
     inner = F.max(value * F.col("aa"))
     rank = F.min(R.ORDER) if agg.ordered else F.lit(0)
-    per = cover.groupBy(*keys, *line).agg(inner.alias("_v"), rank.alias("_o"))
+    per = cover.groupBy(*pixel, *[c for c in line if c not in keys]).agg(inner.alias("_v"), rank.alias("_o"))
     outer = {
         "sum": F.sum("_v"), "max": F.max("_v"), "min": F.min("_v"), "first": F.min_by("_v", "_o"), "last": F.max_by("_v", "_o"), "mean": F.avg("_v"),
     }[how]
-    if isinstance(agg, R.any):
-        outer = F.max("_v")
-    return Grid(per.groupBy(*keys).agg(outer.alias("value")), canvas, {"value": agg.empty}, {})
+    return Grid(per.groupBy(*pixel).agg(outer.alias(name)), canvas, {name: agg.empty}, layers)
+
+
+def _ranked(cover: DataFrame, canvas: Canvas, agg: R.where | R.Ranked, line: list[str], keys: Sequence[str], name: str) -> Grid:
+    """The n best lines of a pixel by value x coverage or by row order, or what a lookup column holds at their rows."""
+    selector = agg.selector if isinstance(agg, R.where) else agg
+    by_row = isinstance(selector, (R.max_n_row_index, R.min_n_row_index))
+    value = F.col("aa") if by_row else selector.v * F.col("aa")
+    target = agg.target() if isinstance(agg, R.where) else F.col(R.ORDER)
+    pixel, row = ["py", "px", *keys], F.col(R.ORDER)
+    best = F.max_by(F.struct(row.alias("o"), target.alias("t")), F.struct(value.alias("v"), (-row).alias("i")))
+    per = cover.where(value.isNotNull()).groupBy(*pixel, *[c for c in line if c not in keys]).agg(F.max(value).alias("_v"), best.alias("_b"))
+    v, o = F.col("_v"), F.col("_b.o")
+    if isinstance(selector, (R.max, R.max_n)):
+        order = [v.desc(), o.asc()]
+    elif isinstance(selector, (R.min, R.min_n)):
+        order = [v.asc(), o.asc()]
+    else:
+        order = [o.desc() if isinstance(selector, (R.last, R.last_n, R.max_n_row_index)) else o.asc()]
+    many = selector.most if isinstance(selector, R.Ranked) else 1
+    top = per.withColumn("n", F.row_number().over(Window.partitionBy(*pixel).orderBy(*order))).where(F.col("n") <= many)
+    out = F.col("_b.t") if isinstance(agg, R.where) or by_row else v
+    layers: dict[str, list] = {k: [] for k in keys}
+    if isinstance(selector, R.Ranked):
+        return Grid(top.select(*pixel, (F.col("n") - 1).alias("n"), out.alias(name)), canvas, {name: agg.empty}, layers | {"n": list(range(many))})
+    return Grid(top.select(*pixel, out.alias(name)), canvas, {name: agg.empty}, layers)
 
 
 def draw(segs: DataFrame, canvas: Canvas, agg: R.Reduction | None = None, line_width: float = 0, antialias: bool = False, line: list[str] | None = None, self_intersect: bool = True) -> Grid:

@@ -46,13 +46,9 @@ def reduce_pixels(rows: DataFrame, canvas: Canvas, agg: R.Reduction, keys: list[
     if isinstance(agg, R.summary):
         return _summary(rows, canvas, agg, extra)
     if isinstance(agg, R.by):
-        category = agg.category.fitted(rows)
-        code = category.code()
-        # the code is filtered, not the element: Spark takes the element of an array without nulls for never null, even at a null index
-        coded = rows.withColumn("_code", code.cast("int")).where(F.col("_code").isNotNull())
-        names = F.array(*[F.lit(v) for v in category.layers()]) if category.layers() else F.array(F.lit(None).cast("string"))
-        inner = reduce_pixels(coded.withColumn("cat", F.get(names, F.col("_code"))), canvas, agg.reduction, [*extra, "cat"], name)
-        return Grid(inner.df, canvas, inner.values, inner.layers | {"cat": category.layers()})
+        coded, members = categorized(rows, agg)
+        inner = reduce_pixels(coded, canvas, agg.reduction, [*extra, "cat"], name)
+        return Grid(inner.df, canvas, inner.values, inner.layers | {"cat": members})
     group = ["py", "px", *extra]
     layers: dict[str, list] = {k: [] for k in extra}
     ranked = agg.selector if isinstance(agg, R.where) else agg
@@ -65,22 +61,34 @@ def reduce_pixels(rows: DataFrame, canvas: Canvas, agg: R.Reduction, keys: list[
     return Grid(rows.groupBy(*group).agg(agg.aggregate().alias(name)), canvas, {name: agg.empty}, layers)
 
 
+def categorized(rows: DataFrame, agg: R.by) -> tuple[DataFrame, list]:
+    """rows with their category as `cat`, those without one left out, and the categories."""
+    category = agg.category.fitted(rows)
+    # the code is filtered, not the element: Spark takes the element of an array without nulls for never null, even at a null index
+    coded = rows.withColumn("_code", category.code().cast("int")).where(F.col("_code").isNotNull())
+    names = F.array(*[F.lit(v) for v in category.layers()]) if category.layers() else F.array(F.lit(None).cast("string"))
+    return coded.withColumn("cat", F.get(names, F.col("_code"))), category.layers()
+
+
+def joined(parts: dict[str, Grid]) -> Grid:
+    """One grid of the grids' values; they are joined by the keys that they share."""
+    if not parts:
+        raise ValueError("a summary needs at least one reduction")
+    grid, *others = parts.values()
+    for part in others:
+        on = [k for k in grid.keys if k in part.keys]
+        grid = Grid(grid.df.join(part.df, on, "full"), grid.canvas, grid.values | part.values, grid.layers | part.layers)
+    return grid
+
+
 def _summary(rows: DataFrame, canvas: Canvas, agg: R.summary, extra: list[str]) -> Grid:
+    """Plain reductions share one aggregation."""
     plain = {n: r for n, r in agg.parts.items() if not isinstance(getattr(r, "selector", r), (R.Ranked, R.by))}
     group = ["py", "px", *extra]
-    grid = Grid(rows.groupBy(*group).agg(*[r.aggregate().alias(n) for n, r in plain.items()]), canvas, {n: r.empty for n, r in plain.items()}, {k: [] for k in extra}) if plain else None
-    for n, r in agg.parts.items():
-        if n in plain:
-            continue
-        part = reduce_pixels(rows, canvas, r, extra, n)
-        if grid is None:
-            grid = part
-            continue
-        on = [k for k in grid.keys if k in part.keys]
-        grid = Grid(grid.df.join(part.df, on, "full"), canvas, grid.values | part.values, grid.layers | part.layers)
-    if grid is None:
-        raise ValueError("a summary needs at least one reduction")
-    return grid
+    parts = {}
+    if plain:
+        parts["plain"] = Grid(rows.groupBy(*group).agg(*[r.aggregate().alias(n) for n, r in plain.items()]), canvas, {n: r.empty for n, r in plain.items()}, {k: [] for k in extra})
+    return joined(parts | {f"of {n}": reduce_pixels(rows, canvas, r, extra, n) for n, r in agg.parts.items() if n not in plain})
 
 
 def needed(df: DataFrame, columns: list[str], agg: R.Reduction, order: str | None) -> DataFrame:
