@@ -47,14 +47,15 @@ def coverage(segs: DataFrame, canvas: Canvas, width: float, overwrite: bool) ->
     joined = ~F.col("begins") & (F.col("plen") > 0) & F.lit(not overwrite)
     plen = F.nullif(F.col("plen"), F.lit(0.0))
     at = at.withColumns({"joined": joined, "wx": (F.col("ax") - F.col("mx")) / plen, "wy": (F.col("ay") - F.col("my")) / plen})
+    at = S.settled(at, ["ax", "ay", "bx", "by", "begins", "len", "plen", "ux", "uy", "joined", "wx", "wy"])
     for axis, lo, hi, size in (("px", F.least("ax", "bx"), F.greatest("ax", "bx"), canvas.plot_width), ("py", F.least("ay", "by"), F.greatest("ay", "by"), canvas.plot_height)):
         a, b = F.greatest(F.ceil(lo - 2 * half), F.lit(0)).cast("int"), F.least(F.floor(hi + 2 * half), F.lit(size - 1)).cast("int")
         at = at.withColumns({"_a": a, "_b": b}).withColumn(axis, F.explode(F.when(F.col("_a") <= F.col("_b"), F.sequence("_a", "_b"))))
     rx, ry = F.col("px") - F.col("ax"), F.col("py") - F.col("ay")
     along, across = rx * F.col("ux") + ry * F.col("uy"), F.abs(rx * F.col("uy") - ry * F.col("ux"))
     before, prev_across = rx * F.col("wx") + ry * F.col("wy"), F.abs(rx * F.col("wy") - ry * F.col("wx"))
-    at = at.withColumns({"along": along, "across": across, "before": before, "pacross": prev_across})
-    at = at.where(F.col("across") <= half).where(F.col("along").between(F.lit(-half), F.col("len") + half))
+    at = at.withColumns({"along": along, "across": across}).where(F.col("across") <= half).where(F.col("along").between(F.lit(-half), F.col("len") + half))
+    at = S.settled(at.withColumns({"before": before, "pacross": prev_across}), ["along", "across", "before", "pacross"])
     whole = ~F.col("joined")
     overwriting = F.lit(overwrite) | (~F.col("begins") & (F.col("plen") == 0))
     head = (F.col("along") < 0) & (overwriting | F.col("begins") | (F.col("before") > 0))

@@ -81,15 +81,20 @@ def clip_span(*axes: tuple[Column, Column, tuple[float, float]]) -> tuple[Column
     return F.greatest(*enter), F.least(*leave), level
 
 
+def settled(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df with these columns computed once: as what a generator makes, filters above aren't pushed past them, which would repeat their expressions."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*[F.col(c) for c in names]))))
+
+
 def clipped(segs: DataFrame, x_range: tuple[float, float], y_range: tuple[float, float]) -> DataFrame:
     """Segments cut to the ranges, with cut_start and cut_end; those outside and those with a gap are dropped before anything is exploded."""
     (xa, xb), (ya, yb) = ([F.lit(float(v)) for v in r] for r in (x_range, y_range))
     x0, y0, x1, y1 = (F.col(c) for c in NAMES[:4])
-    out = segs.where(~_gap(x0, y0) & ~_gap(x1, y1))
+    out = settled(segs, NAMES).where(~_gap(x0, y0) & ~_gap(x1, y1))
     out = out.where(~((x0 < xa) & (x1 < xa)) & ~((x0 > xb) & (x1 > xb)) & ~((y0 < ya) & (y1 < ya)) & ~((y0 > yb) & (y1 > yb)))
     dx, dy = x1 - x0, y1 - y0
     t0, t1, level = clip_span((x0, dx, x_range), (y0, dy, y_range))
-    out = out.where(level).withColumns({"_t0": t0, "_t1": t1}).where("_t0 <= _t1")
+    out = settled(out.where(level).withColumns({"_t0": t0, "_t1": t1}), ["_t0", "_t1"]).where("_t0 <= _t1")
     late, early = F.col("_t0") > 0, F.col("_t1") < 1
     return out.withColumns({
         "x1": F.when(early, x0 + F.col("_t1") * dx).otherwise(x1), "y1": F.when(early, y0 + F.col("_t1") * dy).otherwise(y1),
