@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship
-from tessera.sources.durable import durable
+from tessera.sources.durable import durable, forget
 from tessera.sources.rowindex import numbered
 
 
@@ -57,13 +57,16 @@ def adjacency(edges: DataFrame, source: str = "source", target: str = "target",
 
 
 def forceatlas2_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 10, linlog: bool = False, nohubs: bool = False, k: float | None = None, seed: int = 0,
-                       weight: str | None = None, cells: int = 32) -> DataFrame:
+                       weight: str | None = None, cells: int | None = 32) -> DataFrame:
     """Force-directed layout: linked nodes attract, all repel, steps shrink.
 
     Repulsion comes from cell totals of a cells x cells grid instead of every other node, so an iteration costs nodes times
-    cells, not nodes squared; within a node's own cell the other nodes' mean place counts. Each iteration is written to the shared folder.
+    cells, not nodes squared; within a node's own cell the other nodes' mean place counts. With cells=None every other node repels on its own, for
+    at most EXACT_NODES nodes, whose places all tasks then hold. Each iteration is written to the shared folder, and goes with the next.
     """
     n = max(nodes.count(), 1)
+    if cells is None and n > EXACT_NODES:
+        raise ValueError(f"without cells, {EXACT_NODES} nodes are the most")
     best = k if k is not None else math.sqrt(1.0 / n)
     at = nodes if {"x", "y"} <= set(nodes.columns) else random_layout(nodes, seed)
     pos = durable(at.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
@@ -71,24 +74,7 @@ def forceatlas2_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 10,
     heat = 0.1
     cooling = heat / (iterations + 1)
     for _ in range(iterations):
-        box = pos.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        wide, high = max(box[1] - box[0], 1e-9), max(box[3] - box[2], 1e-9)
-        cell = lambda c, lo, size: F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(size) * cells), F.lit(cells - 1))
-        placed = pos.withColumn("cx", cell("x", box[0], wide)).withColumn("cy", cell("y", box[2], high))
-        totals = placed.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-        table = F.broadcast(totals.agg(F.collect_list(F.struct("cx", "cy", "n", "sx", "sy")).alias("all")))  # cells^2 entries at most
-        zero = F.struct(F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-
-        def push(acc: Column, c: Column) -> Column:
-            own = ((c["cx"] == F.col("cx")) & (c["cy"] == F.col("cy"))).cast("int")
-            m = c["n"] - own
-            dx = F.col("x") - (c["sx"] - own * F.col("x")) / F.greatest(m, F.lit(1))
-            dy = F.col("y") - (c["sy"] - own * F.col("y")) / F.greatest(m, F.lit(1))
-            d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-4))
-            f = F.when(m > 0, m * F.lit(best * best) / d2).otherwise(0.0)
-            return F.struct((acc["fx"] + f * dx).alias("fx"), (acc["fy"] + f * dy).alias("fy"))
-
-        pushed = placed.join(table).withColumn("_f", F.aggregate("all", zero, push)).select("id", "x", "y", "_f.fx", "_f.fy")
+        pushed = _pushed(pos, best, cells)
         a, b = pos.toDF("a", "ax", "ay"), pos.toDF("b", "bx", "by")
         dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
         dist = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(0.01))
@@ -98,11 +84,51 @@ def forceatlas2_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 10,
         hub = F.col("deg") + 1 if nohubs else F.lit(1.0)
         fx, fy = (F.col(f"f{c}") + F.coalesce(F.col(f"g{c}") / hub, F.lit(0.0)) for c in "xy")
         size = F.greatest(F.sqrt(fx * fx + fy * fy), F.lit(0.01))
-        pos = durable(both.select("id", (F.col("x") + fx * heat / size).alias("x"), (F.col("y") + fy * heat / size).alias("y")))
+        moved = durable(both.select("id", (F.col("x") + fx * heat / size).alias("x"), (F.col("y") + fy * heat / size).alias("y")))
+        forget(pos)
+        pos = moved
         heat -= cooling
     return nodes.drop("x", "y").join(pos, "id")
 
 
+#: Most nodes whose places every task may hold: 3 MB.
+EXACT_NODES = 200_000
+
+
+def _pushed(pos: DataFrame, best: float, cells: int | None) -> DataFrame:
+    """(id, x, y, fx, fy): each node's repulsion by the totals of a grid's cells, or by every other node."""
+    ship(pos.sparkSession)
+    box = pos.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if cells is None:
+        every = pos.select("x", "y", F.lit(1.0), F.lit(-1)).toPandas().to_numpy(float)
+        box = None
+    else:
+        at = [F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(max(hi - lo, 1e-9)) * cells), F.lit(cells - 1)) for c, lo, hi in (("x", box[0], box[1]), ("y", box[2], box[3]))]
+        totals = pos.groupBy((at[1] * cells + at[0]).cast("int").alias("cell")).agg(F.sum("x"), F.sum("y"), F.count("*"))
+        every = totals.toPandas().to_numpy(float)[:, [1, 2, 3, 0]]  # cells^2 rows at most
+    held = pos.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        sx, sy, n, cell = held.value.T
+        step = max(1, 1_000_000 // max(len(n), 1))
+        for pdf in batches:
+            force = np.empty((len(pdf), 2))
+            for at in range(0, len(pdf), step):
+                x, y = (pdf[c].to_numpy()[at : at + step, None] for c in "xy")
+                if box is None:
+                    m, dx, dy = n, x - sx, y - sy
+                else:
+                    i, j = (np.minimum(np.floor((v - lo) / max(hi - lo, 1e-9) * cells), cells - 1) for v, lo, hi in ((x, box[0], box[1]), (y, box[2], box[3])))
+                    own = j * cells + i == cell
+                    m = n - own
+                    dx, dy = (v - (total - own * v) / np.maximum(m, 1) for v, total in ((x, sx), (y, sy)))
+                f = m * best * best / np.maximum(dx * dx + dy * dy, 1e-4)
+                force[at : at + step] = np.stack([(f * dx).sum(1), (f * dy).sum(1)], 1)
+            yield pdf.assign(fx=force[:, 0], fy=force[:, 1])
+
+    return pos.mapInPandas(run, ", ".join([*(f"{n} {t}" for n, t in pos.dtypes), "fx double", "fy double"]))
+
+
 def _blur(image: np.ndarray, sigma: float) -> np.ndarray:
     r = max(1, int(4 * sigma + 0.5))
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / max(sigma, 1e-6)) ** 2)
@@ -113,18 +139,36 @@ def _blur(image: np.ndarray, sigma: float) -> np.ndarray:
     return image
 
 
+def _slopes(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel slopes along x and y; edge pixels are repeated outwards."""
+    p = np.pad(image, 1, mode="edge")
+    x, y = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    return x[:-2] + 2 * x[1:-1] + x[2:], y[:, :-2] + 2 * y[:, 1:-1] + y[:, 2:]
+
+
 def _resampled(p: np.ndarray, shortest: float, longest: float) -> np.ndarray:
     """Points too near the last kept one go, gaps that are too long are halved; the ends stay."""
-    out = [p[0]]
-    for q in p[1:-1]:
-        if np.hypot(*(q - out[-1])) >= shortest:
-            out.append(q)
-    out.append(p[-1])
-    fine = [out[0]]
-    for q in out[1:]:
-        n = max(1, int(np.ceil(np.hypot(*(q - fine[-1])) / longest)))
-        fine.extend(fine[-1] + (q - fine[-1]) * t / n for t in range(1, n + 1))
-    return np.array(fine)
+    gaps = np.hypot(*np.diff(p, axis=0).T)
+    if len(p) > 2 and gaps[:-1].min() < shortest:
+        kept = [p[0]]
+        for q in p[1:-1]:
+            if np.hypot(*(q - kept[-1])) >= shortest:
+                kept.append(q)
+        p = np.array([*kept, p[-1]])
+        gaps = np.hypot(*np.diff(p, axis=0).T)
+    n = np.maximum(1, np.ceil(gaps / longest)).astype(int)
+    if (n == 1).all():
+        return p
+    part = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) / np.repeat(n, n)
+    return np.concatenate([np.repeat(p[:-1], n, axis=0) + np.repeat(np.diff(p, axis=0), n, axis=0) * part[:, None], p[-1:]])
+
+
+def _inner(sizes: np.ndarray) -> np.ndarray:
+    """Where, of lines laid end to end, the points that aren't ends are."""
+    inner = np.ones(sizes.sum(), bool)
+    ends = np.cumsum(sizes)
+    inner[ends - 1] = inner[ends - sizes] = False
+    return np.flatnonzero(inner)
 
 
 def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float = 0.05, decay: float = 0.7, iterations: int = 4, tension: float = 0.3, accuracy: int = 500,
@@ -147,15 +191,20 @@ def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float =
     lines = lines.select(F.col("edge_id").cast("long"), "w", "xs", "ys")
 
     def mapped(df: DataFrame, move) -> DataFrame:  # noqa: ANN001
+        """move takes and returns the points of a batch's lines, end to end, and how many each line has."""
         def run(batches):  # noqa: ANN001, ANN202
             for pdf in batches:
-                moved = [move(np.c_[x, y]) for x, y in zip(pdf["xs"], pdf["ys"])]
-                yield pd.DataFrame({"edge_id": pdf["edge_id"], "w": pdf["w"], "xs": [m[:, 0] for m in moved], "ys": [m[:, 1] for m in moved]})
+                if not len(pdf):
+                    continue
+                p, sizes = move(np.c_[np.concatenate(pdf["xs"].to_list()), np.concatenate(pdf["ys"].to_list())], pdf["xs"].map(len).to_numpy())
+                cut = np.cumsum(sizes)[:-1]
+                yield pd.DataFrame({"edge_id": pdf["edge_id"].to_numpy(), "w": pdf["w"].to_numpy(), "xs": np.split(p[:, 0], cut), "ys": np.split(p[:, 1], cut)})
 
         return df.mapInPandas(run, schema)
 
-    def resample(p: np.ndarray) -> np.ndarray:
-        return _resampled(p, min_segment_length, max_segment_length)
+    def resample(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [_resampled(q, min_segment_length, max_segment_length) for q in np.split(p, np.cumsum(sizes)[:-1])]
+        return np.concatenate(out), np.array([len(q) for q in out])
 
     lines = durable(mapped(lines, resample))
     bandwidth = initial_bandwidth
@@ -168,29 +217,31 @@ def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float =
         cells = points.groupBy(cell("y").alias("j"), cell("x").alias("i")).agg(F.sum("w").alias("d")).toPandas()
         image = np.zeros((accuracy, accuracy))
         image[cells["j"], cells["i"]] = cells["d"]
-        gy, gx = np.gradient(_blur(image, pixels))
+        gx, gy = _slopes(_blur(image, pixels))
         norm = np.hypot(gx, gy)
         norm[norm == 0] = 1.0
         slope = spark.sparkContext.broadcast((gx / norm, gy / norm))
 
-        def advect(p: np.ndarray, slope=slope, advect=advect_iterations, acc=accuracy) -> np.ndarray:  # noqa: ANN001
+        def advect(p: np.ndarray, sizes: np.ndarray, slope=slope, advect=advect_iterations, acc=accuracy) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
             sx, sy = slope.value
-            p = p.copy()
+            p, inner = p.copy(), _inner(sizes)
             for _ in range(advect):
-                at = np.clip((p[1:-1] * acc).astype(int), 0, acc - 1)
-                p[1:-1, 0] += sx[at[:, 1], at[:, 0]] / acc
-                p[1:-1, 1] += sy[at[:, 1], at[:, 0]] / acc
-            return resample(np.clip(p, 0, 1))
+                i, j = np.clip((p[inner] * acc).astype(int), 0, acc - 1).T
+                p[inner] += np.c_[sx[j, i], sy[j, i]] / acc
+            return resample(np.clip(p, 0, 1), sizes)
 
-        lines = durable(mapped(lines, advect))
+        moved = durable(mapped(lines, advect))
+        forget(lines)
+        lines = moved
         bandwidth *= decay
 
-    def smooth(p: np.ndarray) -> np.ndarray:
+    def smooth(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner = _inner(sizes)
         for _ in range(10):
             q = p.copy()
-            q[1:-1] = (1 - tension) * p[1:-1] + tension * 0.5 * (p[:-2] + p[2:])
+            q[inner] = (1 - tension) * p[inner] + tension * 0.5 * (p[inner - 1] + p[inner + 1])
             p = q
-        return p
+        return p, sizes
 
     done = mapped(lines, smooth).withColumn("_p", F.arrays_zip("xs", "ys"))
     back = done.select("edge_id", "w", F.posexplode("_p").alias("k", "p")).select("edge_id", "w", "k", (F.col("p.xs") * size + x0).alias("x"), (F.col("p.ys") * size + y0).alias("y"))

@@ -183,19 +183,14 @@ edges as (select o_orderkey as edge_id, o_custkey as source, (o_custkey * 7 + o_
 def _graphs() -> dict[str, Entry]:
     ends = f"with {NET}, j as (select edge_id, weight, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from edges join nodes a on a.id = source join nodes b on b.id = target)"
 
-    def small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-        nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 300).cast("double").alias("y"))
-        edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("edge_id"), F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 7 % 10).alias("target"))
-        return nodes, edges
-
     circle = "with n as (select c_custkey as id, row_number() over (order by c_custkey) - 1 as i, count(*) over () as n from customer)"
     return {
         "connect_edges": Entry(lambda spark, sf_dir: rounded(graph.connect_edges(*net(spark, sf_dir), weight="weight")), f"{ends} select edge_id, 0 as k, {digits('x0')} as x, {digits('y0')} as y, weight from j union all select edge_id, 1, {digits('x1')}, {digits('y1')}, weight from j union all select edge_id, 2, null, null, weight from j"),
         "graph_adjacency": Entry(lambda spark, sf_dir: rounded(graph.adjacency(net(spark, sf_dir)[1], weight="weight")), f"with {NET} select a, b, {digits('sum(w)')} as w from (select source as a, target as b, weight as w from edges union all select target, source, weight from edges where source <> target) group by a, b"),
         "circular_layout": Entry(lambda spark, sf_dir: rounded(graph.circular_layout(net(spark, sf_dir)[0].select("id"))), f"{circle} select id, {digits('0.5 + 0.5 * cos(i / n::double * 2 * pi())')} as x, {digits('0.5 + 0.5 * sin(i / n::double * 2 * pi())')} as y from n"),
         "random_layout": Entry(lambda spark, sf_dir: graph.random_layout(net(spark, sf_dir)[0].select("id"), 3)),
-        "forceatlas2_layout": Entry(lambda spark, sf_dir: graph.forceatlas2_layout(small(spark, sf_dir)[0].select("id"), small(spark, sf_dir)[1], iterations=3)),
-        "hammer_bundle": Entry(lambda spark, sf_dir: graph.hammer_bundle(*small(spark, sf_dir), iterations=2, accuracy=200)),
+        "forceatlas2_layout": Entry(lambda spark, sf_dir: graph.forceatlas2_layout(net(spark, sf_dir)[0].select("id"), net(spark, sf_dir)[1])),
+        "hammer_bundle": Entry(lambda spark, sf_dir: graph.hammer_bundle(*net(spark, sf_dir))),
     }
 
 

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: what spark.checkpoint.dir names; a local one only where that is unset."""
+    """The folder that all machines share: what spark.checkpoint.dir names; a local one only where that is unset and the session runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             os.makedirs("/tmp/checkpoints", exist_ok=True)
             named = tempfile.mkdtemp(prefix="tessera-", dir="/tmp/checkpoints")
         sc.setCheckpointDir(named)
