@@ -30,7 +30,7 @@ def neighbours(df: DataFrame, order: str, values: list[str], within: list[str] |
     """df with structs _prev, _next and _next2 of `values`: the rows around each one by ascending order, null beyond the ends.
 
     With `within`, order counts within each of its groups, one window each. Without, all rows are one sequence: they
-    are cut into ranges of the order column, windows run within ranges, and rows at the ranges' ends (four a range)
+    are cut into ranges of the order column (one pass counts rows and finds the limits), windows run within ranges, and rows at the ranges' ends (four a range)
     get their neighbours from a table of just such rows. Order values should be unique.
     """
     row = F.struct(*[F.col(v) for v in values])
@@ -41,9 +41,9 @@ def neighbours(df: DataFrame, order: str, values: list[str], within: list[str] |
     if within:
         return around(df, Window.partitionBy(*within).orderBy(order))
     key = F.col(order).cast("double")
-    n = df.count()
+    n, quantiles = df.agg(F.count("*"), F.percentile_approx(key, [i / MAX_RANGES for i in range(1, MAX_RANGES)], 10_000)).first()
     parts = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    limits = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
+    limits = sorted({quantiles[MAX_RANGES * i // parts - 1] for i in range(1, parts)}) if quantiles else []
     bucket = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < key)) if limits else F.lit(0)
     tagged = df.withColumn("_b", bucket)
     w = Window.partitionBy("_b").orderBy(order)
