@@ -12,9 +12,10 @@ MAX_PARTS a table, held by all tasks), which are searched for the other ranges t
 one leading block fills several ranges, so a hot block is spread over as many tasks as it needs. A range gives back a spanning forest of its
 links. A fingerprint has at most 64 + 2,016 others within two bits, so links grow in proportion to distinct fingerprints.
 
-`similar` and `keep_first_similar` are for any similarity. A radius of 64 bits that is wide enough for 0.8 (some 10 bits on average,
-16 in the tail) would need blocks too short to part a large table, and would still lose pairs. So their candidates come from
-ordered prefixes of the shingle sets, which lose none, and each is compared exactly. Groups of many near copies are joined by few of their pairs first.
+`similar` and `keep_first_similar` are for any similarity. They go by the same index first, over fingerprints of the shingle sets and
+NEAR_BITS wide: what it joins are real pairs, each compared exactly. A radius that is wide enough for 0.8 (some 10 bits on average,
+16 in the tail) would need blocks too short to part a large table, and would still lose pairs. So the rest comes from
+ordered prefixes of the shingle sets, which lose none, and is compared exactly too. Groups of many near copies are joined by few of their pairs first.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle needs
 form one shingle; ties go to the smallest doc_id; repeated rows share fingerprint and component; null doc_ids are
@@ -40,8 +41,12 @@ from tessera.llm.components import components
 FANOUT = 8
 #: Distinct fingerprints in a range of the index, and most ranges of a table.
 PART, MAX_PARTS = 1 << 18, 4096
-#: (query, node) pairs held at once while the index is searched.
-FRONT = 2_000_000
+#: (query, node) pairs held at once while the index is searched, for links and for pairs.
+FRONT, PAIR_FRONT = 2_000_000, 250_000
+#: Differing bits up to which the index gives candidates for any similarity, and distinct fingerprints in a range of it then.
+NEAR_BITS, NEAR_PART = 6, 1 << 15
+#: Fingerprints that are looked up before what they join is noted in the index.
+QUERIES = 1024
 #: Rows of a shingle that meet in one group.
 BLOCK = 100_000
 #: Candidates a row up to which a group's are compared without a look at bitmaps.
@@ -51,6 +56,16 @@ SAMPLE_DOCS, OFTEN, MAX_FREQUENT = 5_000, 4, 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(h: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of hashes: a bit is 1 if set in over half of them; zero of none."""
+    if not len(h):
+        return 0
+    cols = h.view(np.uint8).reshape(-1, 8)
+    votes = [np.bincount(cols[:, k], minlength=256) @ _BITS for k in range(8)]
+    ones = (2 * np.concatenate(votes) > len(h)).astype(np.uint8)
+    return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of a text."""
     import xxhash
@@ -59,11 +74,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
-    cols = h.view(np.uint8).reshape(-1, 8)
-    votes = [np.bincount(cols[:, k], minlength=256) @ _BITS for k in range(8)]
-    ones = (2 * np.concatenate(votes) > len(h)).astype(np.uint8)
-    return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
@@ -102,11 +113,24 @@ class Tree:
         #: What a node has beyond its parent.
         self.own = [m & ~np.repeat(levels[k + 1], FANOUT)[: len(m)] if k + 1 < len(levels) else m for k, m in enumerate(levels)]
 
-    def search(self, queries: np.ndarray, limit: int, lead: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, leaf) index pairs that differ in at most limit shared bits and in none of lead."""
+    def common(self, label: np.ndarray) -> list[np.ndarray]:
+        """By level, the label that all leaves of a node have, or -1; labels aren't negative."""
+        out = [label]
+        for below in self.own[:-1]:
+            starts = np.arange(0, len(below), FANOUT)
+            least, most = np.minimum.reduceat(out[-1], starts), np.maximum.reduceat(out[-1], starts)
+            out.append(np.where(least == most, least, -1))
+        return out
+
+    def search(self, queries: np.ndarray, limit: int, lead: np.uint64, joined: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) index pairs that differ in at most limit shared bits and in none of lead.
+
+        joined holds labels of queries and leaves: pairs of one label are left out, and so are whole nodes whose leaves all have the query's.
+        """
+        labels, front = (self.common(joined[1]), PAIR_FRONT) if joined else ([], FRONT)
         top = len(self.own) - 1
         roots = len(self.own[top])
-        step = max(1, FRONT // max(roots, 1))
+        step = max(1, front // max(roots, 1))
         for lo in range(0, len(queries) if roots else 0, step):
             n = min(step, len(queries) - lo)
             todo = [(top, np.repeat(np.arange(lo, lo + n), roots), np.tile(np.arange(roots), n), np.zeros(n * roots, np.int64))]
@@ -115,12 +139,14 @@ class Tree:
                 apart = (queries[q] ^ self.patterns[k][node]) & self.own[k][node]
                 acc = acc + np.bitwise_count(apart) + (limit + 1) * ((apart & lead) != 0)
                 keep = acc <= limit
+                if joined:
+                    keep &= labels[k][node] != joined[0][q]
                 q, node, acc = q[keep], node[keep], acc[keep]
                 if not k:
                     yield q, node
                     continue
-                for at in range(0, len(q), FRONT // FANOUT):
-                    some = slice(at, at + FRONT // FANOUT)
+                for at in range(0, len(q), front // FANOUT):
+                    some = slice(at, at + front // FANOUT)
                     child = (node[some, None] * FANOUT + np.arange(FANOUT)).ravel()
                     there = child < len(self.own[k - 1])
                     todo.append((k - 1, np.repeat(q[some], FANOUT)[there], child[there], np.repeat(acc[some], FANOUT)[there]))
@@ -172,8 +198,47 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[label[own]]
 
 
-def links(distinct: DataFrame, limit: int = 2, part: int = PART) -> DataFrame:
-    """(a, b) long: links that join whatever distinct(fp) has within limit differing bits."""
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links u-v among n nodes make a forest with the same components, earlier links first, and each node's label then."""
+    label, left, kept = np.arange(n), np.arange(len(u)), [np.empty(0, np.int64)]
+    while True:
+        left = left[label[u[left]] != label[v[left]]]
+        if not len(left):
+            return np.concatenate(kept), label
+        best = np.full(n, len(u))
+        np.minimum.at(best, label[u[left]], left)
+        np.minimum.at(best, label[v[left]], left)
+        take = np.unique(best[best < len(u)])
+        kept.append(take)
+        to = np.arange(n)
+        own, root = forest(label[u[take]], label[v[take]])
+        to[own] = root
+        label = to[label]
+
+
+def index_pairs(x: np.ndarray, guests: np.ndarray, limit: int, lead: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of index_links(), some that join the same: a forest, so that many near each other cost no square of their number."""
+    s = x[np.argsort(gray_rank(x), kind="stable")]
+    tree = Tree(np.full(len(s), _FULL), s)
+    every = np.concatenate([s, guests])
+    label = np.arange(len(every))
+    a, b = [s[:0]], [s[:0]]
+    for lo in range(0, len(every), QUERIES):
+        some = slice(lo, lo + QUERIES)
+        for q, leaf in tree.search(every[some], limit, lead, (label[some], label[: len(s)])):
+            new = label[lo + q] != label[leaf]
+            q, leaf = lo + q[new], leaf[new]
+            closest = np.argsort(np.bitwise_count(every[q] ^ s[leaf]), kind="stable")
+            q, leaf = q[closest], leaf[closest]
+            take, to = spanning(label[q], label[leaf], len(every))
+            label = to[label]
+            a.append(every[q[take]])
+            b.append(s[leaf[take]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links(distinct: DataFrame, limit: int = 2, part: int = PART, pairs: bool = False) -> DataFrame:
+    """(a, b) long: links that join whatever distinct(fp) has within limit differing bits; if pairs, a and b of each differ in no more themselves."""
     if not 0 <= limit <= 7:
         raise ValueError("blocks would be too short for more than seven differing bits")
     spark = distinct.sparkSession
@@ -238,8 +303,10 @@ def links(distinct: DataFrame, limit: int = 2, part: int = PART) -> DataFrame:
             for n in np.unique(of):
                 mine = of == n
                 by, lead = turns[n // MAX_PARTS]
-                a, b = index_links(x[mine & ~guest], x[mine & guest], limit, lead)
-                a, b = forest(_turn(a, (np.uint64(64) - by) % np.uint64(64)), _turn(b, (np.uint64(64) - by) % np.uint64(64)))
+                a, b = (index_pairs if pairs else index_links)(x[mine & ~guest], x[mine & guest], limit, lead)
+                a, b = _turn(a, (np.uint64(64) - by) % np.uint64(64)), _turn(b, (np.uint64(64) - by) % np.uint64(64))
+                if not pairs:
+                    a, b = forest(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.mapInArrow(tidy(found), "a long, b long")
@@ -425,6 +492,21 @@ def _pair_batch(s: np.ndarray, i: np.ndarray, j: np.ndarray, *before: None) -> p
     return pa.RecordBatch.from_arrays([*[pa.nulls(len(got), pa.int64()) for _ in before], pa.array(got[:, 0]), pa.array(got[:, 1])], names=[*["group" for _ in before], "a", "b"])
 
 
+def fingerprint_pairs(rows: DataFrame, limit: int = NEAR_BITS) -> DataFrame:
+    """(a, b), a < b: candidates that join what rows(id, fp) has within limit differing bits, by few pairs: each row with the first of its fingerprint, and those firsts by the index."""
+    heads = durable(rows.groupBy("fp").agg(F.min("id").alias("head")))
+    across = links(heads.select("fp"), limit, NEAR_PART, pairs=True).distinct()
+    across = across.join(heads.toDF("a", "p"), "a").join(heads.toDF("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    twins = rows.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return across.union(twins).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs(a, b) that roots(node, root) don't join yet."""
+    two = pairs.join(roots.toDF("a", "x"), "a", "left").join(roots.toDF("b", "y"), "b", "left")
+    return two.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def linking_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: candidates of rows(token, c, s, n, at), one a row at most; c is how many rows the token has.
 
@@ -495,8 +577,10 @@ def remaining_pairs(rows: DataFrame, roots: DataFrame, maps: DataFrame, similari
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, root) for each row of docs(doc_id, text): rows of one root are joined by pairs whose shingle sets have that Jaccard similarity or more.
 
-    No such pair is lost: the shingles of a set are ordered (frequent ones last), and two sets that similar share one among the first
-    n - ceil(similarity * n) + 1 of each. What shares one is a candidate; candidates are compared exactly. First each set meets one other for each
+    Candidates are compared exactly, and come from SimHash first: pairs that the index joins within NEAR_BITS differing bits.
+
+    No pair of that similarity is lost: the shingles of a set are ordered (frequent ones last), and two sets that similar share one among the first
+    n - ceil(similarity * n) + 1 of each. What shares one is a candidate. Of what SimHash hasn't joined, each set meets one other for each
     shingle, which joins a group of many near copies at a cost in proportion to its size; then all candidates that aren't joined by that and whose bitmaps allow it.
     """
     ship(docs.sparkSession)
@@ -504,7 +588,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     often = frequent_shingles(docs, shingle)
     order = np.argsort(often)
     ranked = often[order]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("id", "h", "s", "n")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("id", "h", "s", "n", "fp")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -514,11 +598,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         for b in slices(batches):
             ids = pa.array(range(number, number + b.num_rows), pa.int64())
             number += b.num_rows
-            keys, sizes, prefixes, maps = [], [], [], []
+            keys, sizes, votes, prefixes, maps = [], [], [], [], []
             for t in b.column(2):
                 g = shingles(t.as_py(), shingle)
                 keys.append(xxhash.xxh64_intdigest(g.tobytes(), 42))
                 sizes.append(len(g))
+                votes.append(majority(g))
                 maps.append(bitmap(g))
                 where = np.minimum(np.searchsorted(ranked, g), max(len(ranked) - 1, 0))
                 known = ranked[where] == g if len(ranked) else np.zeros(len(g), bool)
@@ -527,8 +612,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
                 prefixes.append(np.concatenate([g[~known], late])[:front].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-            s = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(1), s, pa.array(sizes, pa.int64()), lists, pa.array(maps, pa.binary())], names=schema.names)
+            s, fp = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (keys, votes))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(1), s, pa.array(sizes, pa.int64()), fp, lists, pa.array(maps, pa.binary())], names=schema.names)
 
     each = durable(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(run), schema))
     # rows of equal sets: all but one are left out, and go with that one in the end
@@ -572,9 +657,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         a, b = full.toDF("a", "ga"), full.toDF("b", "gb")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(tidy(compare), "a long, b long")
 
-    first = durable(linking_pairs(rows, similarity))
-    links_ = durable(joined(first))
-    rest = durable(remaining_pairs(rows, components(links_), maps.drop("n"), similarity).join(first, ["a", "b"], "left_anti"))
+    hashed = durable(fingerprint_pairs(lone.select("id", "fp")))
+    near = durable(joined(hashed))
+    first = durable(apart(linking_pairs(rows, similarity), components(near)).join(hashed, ["a", "b"], "left_anti"))
+    links_ = durable(near.union(joined(first)))
+    rest = durable(remaining_pairs(rows, components(links_), maps.drop("n"), similarity).join(first.union(hashed), ["a", "b"], "left_anti"))
     roots = components(links_.union(joined(rest)))
     own = each.join(copies, "id", "left").select("doc_id", "h", F.coalesce("first", "id").alias("own"))
     return own.join(roots, F.col("own") == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "own").alias("root"))

@@ -103,3 +103,50 @@ def test_bitmaps_never_exceed_the_difference():  # noqa: ANN201
         for j in range(len(sets)):
             got = int(maps.differ(np.array([i]), np.array([j]))[0])
             assert got <= len(np.setxor1d(sets[i], sets[j])) and (i != j or got == 0)
+
+
+def _near_fingerprints(n: int) -> np.ndarray:
+    """Distinct fingerprints: n at random, and around each many that differ from it in up to four bits."""
+    gen = np.random.default_rng(11)
+    base = gen.integers(0, 1 << 64, n, dtype=np.uint64)
+    made = [base]
+    for _ in range(60):
+        x = base.copy()
+        for _ in range(gen.integers(1, 5)):
+            x ^= np.uint64(1) << gen.integers(0, 64, n).astype(np.uint64)
+        made.append(x)
+    return np.unique(np.concatenate(made))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
+    return set(zip(*(x.tolist() for x in simhash.forest(a, b)), strict=True))
+
+
+@pytest.mark.parametrize("part", [simhash.NEAR_PART, 97])
+def test_index_gives_pairs_that_join_all_within_the_radius(spark, monkeypatch, part):  # noqa: ANN001, ANN201
+    """In one range and in many: each pair is within the radius, and together they join what all such pairs do, in one range by a forest a table, however many pairs there are."""
+    monkeypatch.setattr(simhash, "QUERIES", 50)
+    fp = _near_fingerprints(20)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.NEAR_BITS, 1))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(4)
+    got = simhash.links(df, simhash.NEAR_BITS, part, pairs=True).collect()
+    a, b = (np.array([r[c] for r in got], np.int64).view(np.uint64) for c in ("a", "b"))
+    assert (np.bitwise_count(a ^ b) <= simhash.NEAR_BITS).all()
+    assert _joined(a, b) == _joined(fp[i], fp[j])
+    assert part < len(fp) or len(got) <= (simhash.NEAR_BITS + 1) * (len(fp) - 1) < len(i) / 2
+
+
+def test_stage_joins_by_fingerprints_first(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """Without the passes for the rest, the stage still drops what has near fingerprints and is similar, and nothing else."""
+    none = spark.createDataFrame([], "a long, b long")
+    for name in ("linking_pairs", "remaining_pairs"):
+        monkeypatch.setattr(simhash, name, lambda *_: none)
+    rows = _edited()
+    sets = [_shingles(t) for _, t in rows]
+    fp = np.array([simhash.majority(simhash.shingles(t)) for _, t in rows], np.uint64)
+    near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.NEAR_BITS, 1)
+    pairs = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    gone = _joined(*np.array([[rows[i][0] for i in p] for p in pairs]).T)
+    assert len(gone) > 10 and {d for d, _ in rows} - kept == {d for d, _ in gone}
