@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship
+from tessera.sources.dealing import dealt
 from tessera.sources.durable import durable, forget
 from tessera.sources.rowindex import numbered
 
@@ -148,19 +149,80 @@ def _slopes(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _resampled(p: np.ndarray, shortest: float, longest: float) -> np.ndarray:
     """Points too near the last kept one go, gaps that are too long are halved; the ends stay."""
-    gaps = np.hypot(*np.diff(p, axis=0).T)
-    if len(p) > 2 and gaps[:-1].min() < shortest:
-        kept = [p[0]]
-        for q in p[1:-1]:
-            if np.hypot(*(q - kept[-1])) >= shortest:
-                kept.append(q)
-        p = np.array([*kept, p[-1]])
-        gaps = np.hypot(*np.diff(p, axis=0).T)
-    n = np.maximum(1, np.ceil(gaps / longest)).astype(int)
+    return _all_resampled(p, np.array([len(p)]), shortest, longest)[0]
+
+
+def _all_resampled(p: np.ndarray, sizes: np.ndarray, shortest: float, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many lines laid end to end, point by point of all lines at once; with how many points each then has."""
+    starts = np.cumsum(sizes) - sizes
+    gaps = np.hypot(*np.diff(p, axis=0, append=p[-1:]).T)
+    counted = np.ones(len(p), bool)  # gaps between a line's points, but for its last
+    counted[starts + sizes - 1] = counted[starts + sizes - 2] = False
+    near = np.logical_or.reduceat(counted & (gaps < shortest), starts)
+    if near.any():
+        keep = np.ones(len(p), bool)
+        order = np.argsort(-sizes[near], kind="stable")
+        first, n = starts[near][order], sizes[near][order]
+        last = p[first]
+        for k in range(1, n[0] - 1):
+            m = np.searchsorted(-n, -(k + 1))  # lines for which point k isn't an end
+            here = p[first[:m] + k]
+            far = np.hypot(*(here - last[:m]).T) >= shortest
+            keep[first[:m] + k] = far
+            last[:m][far] = here[far]
+        sizes = np.add.reduceat(keep.astype(np.int64), starts)
+        p = p[keep]
+        starts = np.cumsum(sizes) - sizes
+        gaps = np.hypot(*np.diff(p, axis=0, append=p[-1:]).T)
+    n = np.maximum(1, np.ceil(gaps / longest)).astype(np.int64)
+    n[starts + sizes - 1] = 1
     if (n == 1).all():
-        return p
+        return p, sizes
+    step = np.diff(p, axis=0, append=p[-1:])
+    step[starts + sizes - 1] = 0
     part = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) / np.repeat(n, n)
-    return np.concatenate([np.repeat(p[:-1], n, axis=0) + np.repeat(np.diff(p, axis=0), n, axis=0) * part[:, None], p[-1:]])
+    return np.repeat(p, n, axis=0) + np.repeat(step, n, axis=0) * part[:, None], np.add.reduceat(n, starts)
+
+
+#: Edges of a task at most, of which each has some 20 to 180 points.
+EDGES = 50_000
+#: Points that move together: what a step touches stays in the processor's caches.
+MOVED = 8192
+
+
+def _advected(p: np.ndarray, sizes: np.ndarray, table: np.ndarray, steps: int, accuracy: int) -> np.ndarray:
+    """Inner points moved `steps` times by the table's entry at their pixel (complex, flat, its edges repeated steps + 2 pixels outwards)."""
+    inner, pad = _inner(sizes), steps + 2
+    width = accuracy + 2 * pad
+    moving = p[inner]
+    at, cell = np.empty((MOVED, 2)), np.empty((MOVED, 2), np.int64)
+    index, push = np.empty(MOVED, np.int64), np.empty(MOVED, complex)
+    for begin in range(0, len(moving), MOVED):
+        q = moving[begin : begin + MOVED]
+        n = len(q)
+        a, c, i, s, z = at[:n], cell[:n], index[:n], push[:n], q.view(complex)[:, 0]
+        for _ in range(steps):
+            np.multiply(q, accuracy, out=a)
+            np.copyto(c, a, casting="unsafe")
+            np.multiply(c[:, 1], width, out=i)
+            i += c[:, 0]
+            i += pad * width + pad
+            np.take(table, i, out=s, mode="clip")
+            z += s
+    p = p.copy()
+    p[inner] = moving
+    return np.clip(p, 0, 1)
+
+
+def _smoothed(p: np.ndarray, sizes: np.ndarray, tension: float) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    ends = np.concatenate([ends - 1, ends - sizes])
+    for _ in range(10):
+        q = p.copy()
+        q[1:-1] = (1 - tension) * p[1:-1] + tension * 0.5 * (p[:-2] + p[2:])
+        q[ends] = p[ends]
+        p = q
+    return p
 
 
 def _inner(sizes: np.ndarray) -> np.ndarray:
@@ -175,76 +237,100 @@ def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float =
                   advect_iterations: int = 50, min_segment_length: float = 0.008, max_segment_length: float = 0.016, weight: str | None = None) -> DataFrame:
     """(edge_id, k, x, y[, weight]): edges drawn together along the density of all edges, a null separator at k = -1.
 
-    Per round: resample edges, add up their density on an accuracy x accuracy grid (a plain aggregate), blur it and take its slope on the
-    driver (the grid's size is fixed), then move the edges' points in workers, an Arrow batch of edges at a time.
+    Per round: resample edges, add up their density on an accuracy x accuracy grid (in workers, one grid a task), blur it and take its
+    slope on the driver (the grid's size is fixed), then move the edges' points in workers, an Arrow batch of edges at a time. Edges
+    are kept as their two ends; their points are written every second round only and else made again, as moving them is cheaper than writing.
     """
     spark = edges.sparkSession
     ship(spark)
     flat = joined(nodes, edges, weight=weight)
+    wt = F.col(weight).cast("double") if weight else F.lit(1.0)
+    flat = durable(dealt(flat.select(F.col("edge_id").cast("long"), wt.alias("w"), "x0", "y0", "x1", "y1"), EDGES))
     box = flat.agg(F.least(F.min("x0"), F.min("x1")), F.greatest(F.max("x0"), F.max("x1")), F.least(F.min("y0"), F.min("y1")), F.greatest(F.max("y0"), F.max("y1"))).first()
     x0, y0 = box[0] or 0.0, box[2] or 0.0
     size = max((box[1] or 1.0) - x0, (box[3] or 1.0) - y0) or 1.0
-    wt = F.col(weight).cast("double") if weight else F.lit(1.0)
-    unit = lambda c, o: (F.col(c) - F.lit(o)) / F.lit(size)
-    lines = flat.select("edge_id", wt.alias("w"), F.array(unit("x0", x0), unit("x1", x0)).alias("xs"), F.array(unit("y0", y0), unit("y1", y0)).alias("ys"))
     schema = "edge_id long, w double, xs array<double>, ys array<double>"
-    lines = lines.select(F.col("edge_id").cast("long"), "w", "xs", "ys")
 
-    def mapped(df: DataFrame, move) -> DataFrame:  # noqa: ANN001
-        """move takes and returns the points of a batch's lines, end to end, and how many each line has."""
+    def points_of(slopes):  # noqa: ANN001, ANN202
+        """From Arrow batches of ends or of points to (edge_id, w, points end to end, how many each line has), moved by each of the slopes."""
         def run(batches):  # noqa: ANN001, ANN202
-            for pdf in batches:
-                if not len(pdf):
+            for b in batches:
+                if not b.num_rows:
                     continue
-                p, sizes = move(np.c_[np.concatenate(pdf["xs"].to_list()), np.concatenate(pdf["ys"].to_list())], pdf["xs"].map(len).to_numpy())
-                cut = np.cumsum(sizes)[:-1]
-                yield pd.DataFrame({"edge_id": pdf["edge_id"].to_numpy(), "w": pdf["w"].to_numpy(), "xs": np.split(p[:, 0], cut), "ys": np.split(p[:, 1], cut)})
+                at = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+                if "xs" in at:
+                    xs, ys = at["xs"], at["ys"]
+                    p, sizes = np.c_[xs.flatten().to_numpy(), ys.flatten().to_numpy()], np.diff(xs.offsets.to_numpy())
+                else:
+                    ends = [(at[n].to_numpy(zero_copy_only=False) - o) / size for n, o in (("x0", x0), ("y0", y0), ("x1", x0), ("y1", y0))]
+                    p, sizes = _all_resampled(np.stack(ends, 1).reshape(-1, 2), np.full(b.num_rows, 2), min_segment_length, max_segment_length)
+                for s in slopes:
+                    p, sizes = _all_resampled(_advected(p, sizes, s.value, advect_iterations, accuracy), sizes, min_segment_length, max_segment_length)
+                yield at["edge_id"], at["w"], p, sizes
+
+        return run
+
+    def density(lines: DataFrame, slopes) -> np.ndarray:  # noqa: ANN001
+        moved = points_of(slopes)
 
-        return df.mapInPandas(run, schema)
+        def run(batches):  # noqa: ANN001, ANN202
+            total = np.zeros(accuracy * accuracy)
+            for _, w, p, sizes in moved(batches):
+                i, j = np.clip(np.floor(p * accuracy), 0, accuracy - 1).astype(np.int64).T
+                total += np.bincount(j * accuracy + i, np.repeat(w.fill_null(0.0).to_numpy(), sizes), accuracy * accuracy)
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "d"])
+
+        image = np.zeros(accuracy * accuracy)
+        cells = lines.mapInArrow(run, "cell int, d double").groupBy("cell").agg(F.sum("d").alias("d")).toPandas()
+        image[cells["cell"]] = cells["d"]
+        return image.reshape(accuracy, accuracy)
 
-    def resample(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = [_resampled(q, min_segment_length, max_segment_length) for q in np.split(p, np.cumsum(sizes)[:-1])]
-        return np.concatenate(out), np.array([len(q) for q in out])
+    def stored(lines: DataFrame, slopes) -> DataFrame:  # noqa: ANN001
+        moved = points_of(slopes)
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for e, w, p, sizes in moved(batches):
+                cut = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([e, w, *[pa.ListArray.from_arrays(cut, pa.array(np.ascontiguousarray(p[:, c]))) for c in (0, 1)]], ["edge_id", "w", "xs", "ys"])
 
-    lines = durable(mapped(lines, resample))
+        return durable(lines.mapInArrow(run, schema))
+
+    lines, slopes = flat, []
     bandwidth = initial_bandwidth
     for _ in range(iterations):
         pixels = bandwidth * accuracy / 2
         if pixels < 0.5:
             break
-        cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(accuracy - 1), F.floor(F.col(c) * accuracy))).cast("int")
-        points = lines.select("w", F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("w", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
-        cells = points.groupBy(cell("y").alias("j"), cell("x").alias("i")).agg(F.sum("w").alias("d")).toPandas()
-        image = np.zeros((accuracy, accuracy))
-        image[cells["j"], cells["i"]] = cells["d"]
-        gx, gy = _slopes(_blur(image, pixels))
+        if len(slopes) == 2:
+            moved = stored(lines, slopes)
+            forget(lines)
+            lines, slopes = moved, []
+        gx, gy = _slopes(_blur(density(lines, slopes), pixels))
         norm = np.hypot(gx, gy)
         norm[norm == 0] = 1.0
-        slope = spark.sparkContext.broadcast((gx / norm, gy / norm))
-
-        def advect(p: np.ndarray, sizes: np.ndarray, slope=slope, advect=advect_iterations, acc=accuracy) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-            sx, sy = slope.value
-            p, inner = p.copy(), _inner(sizes)
-            for _ in range(advect):
-                i, j = np.clip((p[inner] * acc).astype(int), 0, acc - 1).T
-                p[inner] += np.c_[sx[j, i], sy[j, i]] / acc
-            return resample(np.clip(p, 0, 1), sizes)
-
-        moved = durable(mapped(lines, advect))
-        forget(lines)
-        lines = moved
+        table = np.pad(gx / norm / accuracy + 1j * (gy / norm / accuracy), advect_iterations + 2, mode="edge")
+        slopes.append(spark.sparkContext.broadcast(table.ravel()))
         bandwidth *= decay
 
-    def smooth(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inner = _inner(sizes)
-        for _ in range(10):
-            q = p.copy()
-            q[inner] = (1 - tension) * p[inner] + tension * 0.5 * (p[inner - 1] + p[inner + 1])
-            p = q
-        return p, sizes
-
-    done = mapped(lines, smooth).withColumn("_p", F.arrays_zip("xs", "ys"))
-    back = done.select("edge_id", "w", F.posexplode("_p").alias("k", "p")).select("edge_id", "w", "k", (F.col("p.xs") * size + x0).alias("x"), (F.col("p.ys") * size + y0).alias("y"))
-    gap = done.select("edge_id", "w", F.lit(-1).alias("k"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    out = back.unionByName(gap)
+    moved = points_of(slopes)
+
+    def drawn(batches):  # noqa: ANN001, ANN202
+        for e, w, p, sizes in moved(batches):
+            p = _smoothed(p, sizes, tension)
+            ends = np.cumsum(sizes)
+            line = np.repeat(np.arange(len(sizes)), sizes + 1)
+            k = np.arange(len(line)) - np.repeat(ends - sizes + np.arange(len(sizes)), sizes + 1)
+            gap = np.zeros(len(line), bool)
+            gap[ends + np.arange(len(sizes))] = True
+            k[gap] = -1
+            columns = []
+            for c, o in ((0, x0), (1, y0)):
+                v = np.zeros(len(line))
+                v[~gap] = p[:, c] * size + o
+                columns.append(pa.array(v, mask=gap))
+            at = pa.array(line)
+            yield pa.RecordBatch.from_arrays([e.take(at), w.take(at), pa.array(k.astype(np.int32)), *columns], ["edge_id", "w", "k", "x", "y"])
+
+    out = lines.mapInArrow(drawn, "edge_id long, w double, k int, x double, y double")
     return out.withColumnRenamed("w", weight) if weight else out.drop("w")

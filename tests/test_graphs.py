@@ -103,3 +103,26 @@ def test_joined_drops_edges_without_ends(spark):  # noqa: ANN001, ANN201
     edges = spark.createDataFrame([(5, 0, 1), (6, 0, 9)], "edge_id long, source long, target long")
     assert [tuple(r) for r in graph.joined(nodes, edges).collect()] == [(5, 1.0, 2.0, 3.0, 4.0)]
     assert graph.connect_edges(nodes, edges).where(F.col("x").isNull()).count() == 1
+
+
+def test_many_lines_resample_as_each_does():  # noqa: ANN201
+    gen = np.random.default_rng(7)
+    lines = [np.cumsum(gen.random((n, 2)) * gen.choice([0.002, 0.02, 0.2]), axis=0) for n in gen.integers(2, 40, 60)]
+    p, sizes = graph._all_resampled(np.concatenate(lines), np.array([len(q) for q in lines]), 0.01, 0.05)
+    each = [graph._resampled(q, 0.01, 0.05) for q in lines]
+    assert sizes.tolist() == [len(q) for q in each] and (p == np.concatenate(each)).all()
+    for q, r in zip(lines, each):
+        kept = [q[0]]
+        for v in q[1:-1]:
+            if np.hypot(*(v - kept[-1])) >= 0.01:
+                kept.append(v)
+        kept.append(q[-1])
+        assert set(map(tuple, kept)) <= set(map(tuple, r)) and np.hypot(*np.diff(r, axis=0).T).max() <= 0.05 + 1e-12
+
+
+def test_bundling_spreads_edges_of_one_file(spark, tmp_path):  # noqa: ANN001, ANN201
+    """Edges that come in one partition are moved in many."""
+    nodes = spark.range(3000).selectExpr("id", "cast(id as double) as x", "cast(id % 7 as double) as y")
+    edges = spark.range(3000).selectExpr("id as edge_id", "id as source", "(id * 17 + 5) % 3000 as target").coalesce(1)
+    out = graph.hammer_bundle(nodes, edges, iterations=1)
+    assert out.rdd.getNumPartitions() > 1 and out.where("k = -1").count() == 3000
