@@ -45,6 +45,13 @@ class Reduction:
     def aggregate(self) -> Column:
         raise NotImplementedError(f"{type(self).__name__} has no aggregate")
 
+    def parts(self) -> dict[str, Column]:
+        """Aggregates of some of a pixel's rows from which `merged` makes the value of all; none where that can't be."""
+        return {}
+
+    def merged(self) -> Column:
+        raise NotImplementedError(f"{type(self).__name__} can't be merged")
+
 
 class count(Reduction):
     empty = 0
@@ -52,6 +59,12 @@ class count(Reduction):
     def aggregate(self) -> Column:
         return F.count(F.lit(1)) if self.column is None else F.count(known(F.col(self.column)))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_n": self.aggregate()}
+
+    def merged(self) -> Column:
+        return F.sum("_n")
+
 
 class any(Reduction):
     empty = False
@@ -59,11 +72,23 @@ class any(Reduction):
     def aggregate(self) -> Column:
         return (F.count(F.lit(1)) if self.column is None else F.count(known(F.col(self.column)))) > 0
 
+    def parts(self) -> dict[str, Column]:
+        return {"_n": self.aggregate()}
+
+    def merged(self) -> Column:
+        return F.max("_n")
+
 
 class sum(Reduction):
     def aggregate(self) -> Column:
         return F.sum(self.v)
 
+    def parts(self) -> dict[str, Column]:
+        return {"_s": F.sum(self.v)}
+
+    def merged(self) -> Column:
+        return F.sum("_s")
+
 
 class sum_zero(Reduction):
     empty = 0.0
@@ -71,11 +96,23 @@ class sum_zero(Reduction):
     def aggregate(self) -> Column:
         return F.coalesce(F.sum(self.v), F.lit(0.0))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_s": F.sum(self.v)}
+
+    def merged(self) -> Column:
+        return F.coalesce(F.sum("_s"), F.lit(0.0))
+
 
 class mean(Reduction):
     def aggregate(self) -> Column:
         return F.avg(self.v)
 
+    def parts(self) -> dict[str, Column]:
+        return {"_s": F.sum(self.v), "_n": F.count(self.v)}
+
+    def merged(self) -> Column:
+        return F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))
+
 
 class m2(Reduction):
     """Sum of squared deviations from the mean."""
@@ -102,11 +139,23 @@ class min(Reduction):
     def aggregate(self) -> Column:
         return F.min(self.v)
 
+    def parts(self) -> dict[str, Column]:
+        return {"_v": F.min(self.v)}
+
+    def merged(self) -> Column:
+        return F.min("_v")
+
 
 class max(Reduction):
     def aggregate(self) -> Column:
         return F.max(self.v)
 
+    def parts(self) -> dict[str, Column]:
+        return {"_v": F.max(self.v)}
+
+    def merged(self) -> Column:
+        return F.max("_v")
+
 
 class first(Reduction):
     """Value of the first row, in ORDER, that has one."""
@@ -116,6 +165,12 @@ class first(Reduction):
     def aggregate(self) -> Column:
         return F.min_by(self.raw, F.when(self.raw.isNotNull(), F.col(ORDER)))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_v": self.aggregate(), "_o": F.min(F.when(self.raw.isNotNull(), F.col(ORDER)))}
+
+    def merged(self) -> Column:
+        return F.min_by("_v", "_o")
+
 
 class last(Reduction):
     ordered = True
@@ -123,6 +178,12 @@ class last(Reduction):
     def aggregate(self) -> Column:
         return F.max_by(self.raw, F.when(self.raw.isNotNull(), F.col(ORDER)))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_v": self.aggregate(), "_o": F.max(F.when(self.raw.isNotNull(), F.col(ORDER)))}
+
+    def merged(self) -> Column:
+        return F.max_by("_v", "_o")
+
 
 class min_row_index(Reduction):
     ordered = True
@@ -131,6 +192,12 @@ class min_row_index(Reduction):
     def aggregate(self) -> Column:
         return F.coalesce(F.min(ORDER), F.lit(-1).cast("long"))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_o": F.min(ORDER)}
+
+    def merged(self) -> Column:
+        return F.coalesce(F.min("_o"), F.lit(-1).cast("long"))
+
 
 class max_row_index(Reduction):
     ordered = True
@@ -139,6 +206,12 @@ class max_row_index(Reduction):
     def aggregate(self) -> Column:
         return F.coalesce(F.max(ORDER), F.lit(-1).cast("long"))
 
+    def parts(self) -> dict[str, Column]:
+        return {"_o": F.max(ORDER)}
+
+    def merged(self) -> Column:
+        return F.coalesce(F.max("_o"), F.lit(-1).cast("long"))
+
 
 class mode(Reduction):
     """Most frequent value; only raster resampling has it."""

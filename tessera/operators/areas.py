@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import reductions as R
 from tessera.functions.canvas import Canvas, known
 from tessera.operators import segments as S
-from tessera.plans.aggregate import Grid, reduce_pixels
+from tessera.plans.aggregate import Grid, reduce_spans
+from tessera.sources.dealing import SHAPES, dealt
 
 
 def _clamped(a: Column, b: Column, top: int, stacked: bool) -> tuple[Column, Column, Column]:
@@ -26,26 +27,30 @@ def _clamped(a: Column, b: Column, top: int, stacked: bool) -> tuple[Column, Col
 
 
 def fill(traps: DataFrame, canvas: Canvas, stacked: bool) -> DataFrame:
-    """A row for each pixel of trapezoids (x0, x1, top0, low0, top1, low1, start): columns along x, filled between two Bresenham edges in closed form."""
+    """A row for each column of trapezoids (x0, x1, top0, low0, top1, low1, start): along x, px and pixels _lo to _hi between two Bresenham edges in closed form."""
     ya, yb = (F.lit(float(v)) for v in canvas.y.range)
     edges = ["top0", "low0", "top1", "low1"]
     out = traps
     for c in ("x0", "x1", *edges):
         out = out.where(known(F.col(c)).isNotNull())
     t0, t1, level = S.clip_span((F.col("x0"), F.col("x1") - F.col("x0"), canvas.x.range))
-    out = out.where(~(F.least(*edges) > yb) & ~(F.greatest(*edges) < ya) & level).withColumns({"_t0": t0, "_t1": t1}).where("_t0 <= _t1")
+    out = out.where(~(F.least(*edges) > yb) & ~(F.greatest(*edges) < ya) & level).withColumns({"_t0": t0, "_t1": t1})
+    out = S.settled(out, ["_t0", "_t1"]).where("_t0 <= _t1")
     at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
     late, early = F.col("_t0") > 0, F.col("_t1") < 1
     pairs = (("x0", "x1"), ("top0", "top1"), ("low0", "low1"))
     moved = {b: F.when(early, at(a, b, "_t1")).otherwise(F.col(b)) for a, b in pairs} | {a: F.when(late, at(a, b, "_t0")).otherwise(F.col(a)) for a, b in pairs}
     out = out.withColumns(moved | {"cut0": late, "cut1": early})
     xi, yi = canvas.x.vertex, canvas.y.vertex
+    out = S.settled(out, ["x0", "x1", *edges, "cut0", "cut1"])
     out = out.withColumns({"_x0": xi(F.col("x0")), "_x1": xi(F.col("x1"))} | {f"_{c}": yi(F.col(c)) for c in edges})
+    out = S.settled(out, ["_x0", "_x1", *[f"_{c}" for c in edges]])
     run = F.abs(F.col("_x1") - F.col("_x0")).cast("long")
     first = F.when(F.col("start") | F.col("cut0"), 0).otherwise(1)
     # a segment without width has its far edge as one more column, unless it was cut
     last = F.when((run == 0) & ~(F.col("cut0") | F.col("cut1")), 1).otherwise(run)
-    out = out.withColumns({"_run": run, "_k0": first.cast("long"), "_k1": last.cast("long")}).withColumn("_k", F.explode(F.when(F.col("_k0") <= F.col("_k1"), F.sequence("_k0", "_k1"))))
+    out = out.withColumns({"_run": run, "_k0": first.cast("long"), "_k1": last.cast("long")})
+    out = S.settled(out, ["_run", "_k0", "_k1"]).withColumn("_k", F.explode(F.when(F.col("_k0") <= F.col("_k1"), F.sequence("_k0", "_k1"))))
     back = F.col("_x1") < F.col("_x0")
 
     def edge(a: str, b: str) -> Column:
@@ -54,9 +59,9 @@ def fill(traps: DataFrame, canvas: Canvas, stacked: bool) -> DataFrame:
         return F.when((F.col("_run") == 0) & (F.col("_k") == 1), F.col(b)).otherwise(F.when(F.col("_k") == 0, F.col(a)).otherwise(along)).cast("int")
 
     px = (F.col("_x0") + F.signum(F.col("_x1") - F.col("_x0")).cast("long") * F.col("_k")).cast("int")
-    out = out.withColumns({"px": px, "_a": edge("_top0", "_top1"), "_b": edge("_low0", "_low1")}).where(F.col("px").between(0, canvas.plot_width - 1))
+    out = S.settled(out.withColumns({"px": px, "_a": edge("_top0", "_top1"), "_b": edge("_low0", "_low1")}), ["px", "_a", "_b"]).where(F.col("px").between(0, canvas.plot_width - 1))
     draw, lo, hi = _clamped(F.col("_a"), F.col("_b"), canvas.plot_height - 1, stacked)
-    return out.where(draw).withColumn("py", F.explode(F.sequence(lo, hi)))
+    return out.where(draw).withColumns({"_lo": F.least(lo, hi), "_hi": F.greatest(lo, hi)})
 
 
 def area(source: DataFrame, canvas: Canvas, x: str | Sequence[str] | Sequence[float], y: str | Sequence[str] | Sequence[float], agg: R.Reduction | None = None,
@@ -72,6 +77,7 @@ def area(source: DataFrame, canvas: Canvas, x: str | Sequence[str] | Sequence[fl
                 return F.col(v)
             return F.array(*[F.col(c) for c in v]) if v and isinstance(v[0], str) else S.shared(v)  # type: ignore[arg-type]
 
+        source = dealt(source, SHAPES)
         segs = S.along_arrays(source, vector(x), vector(y), {"low": vector(y_stack)} if stacked else None)  # type: ignore[arg-type]
     else:
         if order is None:
@@ -93,4 +99,4 @@ def area(source: DataFrame, canvas: Canvas, x: str | Sequence[str] | Sequence[fl
         segs = segs.withColumns({"low0": F.lit(0.0), "low1": F.lit(0.0)})
     traps = segs.withColumnsRenamed({"y0": "top0", "y1": "top1"})
     canvas = canvas.fitted(traps, [F.col("x0"), F.col("x1")], [F.col(c) for c in ("top0", "top1", "low0", "low1")])
-    return reduce_pixels(fill(traps, canvas, stacked), canvas, agg)
+    return reduce_spans(fill(traps, canvas, stacked), canvas, agg, "px", "py")

@@ -239,7 +239,7 @@ def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float =
 
     Per round: resample edges, add up their density on an accuracy x accuracy grid (in workers, one grid a task), blur it and take its
     slope on the driver (the grid's size is fixed), then move the edges' points in workers, an Arrow batch of edges at a time. Edges
-    are kept as their two ends; their points are written every second round only and else made again, as moving them is cheaper than writing.
+    come as their two ends; points are first written once they were moved.
     """
     spark = edges.sparkSession
     ship(spark)
@@ -302,7 +302,7 @@ def hammer_bundle(nodes: DataFrame, edges: DataFrame, initial_bandwidth: float =
         pixels = bandwidth * accuracy / 2
         if pixels < 0.5:
             break
-        if len(slopes) == 2:
+        if slopes:
             moved = stored(lines, slopes)
             forget(lines)
             lines, slopes = moved, []

@@ -61,6 +61,25 @@ def reduce_pixels(rows: DataFrame, canvas: Canvas, agg: R.Reduction, keys: list[
     return Grid(rows.groupBy(*group).agg(agg.aggregate().alias(name)), canvas, {name: agg.empty}, layers)
 
 
+def reduce_spans(rows: DataFrame, canvas: Canvas, agg: R.Reduction, line: str, span: str, keys: list[str] | None = None) -> Grid:
+    """Aggregate rows(line, _lo, _hi, inputs[, ORDER]) that cover pixels _lo to _hi along `span` in one column or row of the grid.
+
+    Equal spans are added up before they become pixels, of which there are then no more than spans of a grid, whatever the rows.
+    """
+    extra = list(keys or [])
+    if isinstance(agg, R.by):
+        coded, members = categorized(rows, agg)
+        inner = reduce_spans(coded, canvas, agg.reduction, line, span, [*extra, "cat"])
+        return Grid(inner.df, canvas, inner.values, inner.layers | {"cat": members})
+    pixels = lambda df: df.withColumn(span, F.explode(F.sequence("_lo", "_hi")))
+    parts = agg.parts()
+    if not parts:
+        return reduce_pixels(pixels(rows), canvas, agg, extra)
+    spans = rows.groupBy(line, "_lo", "_hi", *extra).agg(*[c.alias(n) for n, c in parts.items()])
+    df = pixels(spans).groupBy("py", "px", *extra).agg(agg.merged().alias("value"))
+    return Grid(df, canvas, {"value": agg.empty}, {k: [] for k in extra})
+
+
 def categorized(rows: DataFrame, agg: R.by) -> tuple[DataFrame, list]:
     """rows with their category as `cat`, those without one left out, and the categories."""
     category = agg.category.fitted(rows)

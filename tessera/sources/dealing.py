@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 FEW_ROWS, MOST_PARTS = 1000, 10_000
+#: Rows of a task at most where each is a shape of its own.
+SHAPES = 20_000
 
 
 def dealt(df: DataFrame, most: int, *keys: str) -> DataFrame:
