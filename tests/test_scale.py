@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import reductions as R
 from tessera.functions.canvas import Canvas
 from tessera.operators.areas import area
+from tessera.operators.polygons import polygons
 
 CANVAS = Canvas(12, 10, (0.0, 2.0), (0.0, 20.0))
 
@@ -40,3 +41,13 @@ def test_areas_of_a_small_file_are_many_tasks(spark, shapes):  # noqa: ANN001, A
     plan = _runs(area(shapes, CANVAS, [0.0, 1.0, 2.0], ["a", "b", "c"], R.sum("v"), axis=1).df)
     assert re.search(r"keys=\[px#\d+, _lo#\d+, _hi#\d+", plan)  # spans are grouped before they are pixels
     assert "RoundRobinPartitioning" in plan
+
+
+def test_polygons_of_a_small_file_are_many_tasks(spark):  # noqa: ANN001, ANN201
+    ring = "array(array(named_struct('x', x, 'y', y), named_struct('x', x + 3, 'y', y), named_struct('x', x, 'y', y + 3), named_struct('x', x, 'y', y)))"
+    rows = spark.range(3000).selectExpr("id", "cast(id % 2 as double) as x", "cast(id % 7 as double) as y").selectExpr("id", f"{ring} as shape").coalesce(1)
+    grid = polygons(rows, Canvas(12, 10, (0.0, 6.0), (0.0, 10.0)), "shape", R.count())
+    assert "RoundRobinPartitioning" in _runs(grid.df)
+    one = {(r["py"], r["px"]): r["value"] for r in polygons(rows.where("id < 14"), Canvas(12, 10, (0.0, 6.0), (0.0, 10.0)), "shape", R.count()).df.collect()}
+    half = {(r["py"], r["px"]): r["value"] for r in polygons(rows.where("id < 28"), Canvas(12, 10, (0.0, 6.0), (0.0, 10.0)), "shape", R.count()).df.collect()}
+    assert one and half == {k: 2 * v for k, v in one.items()}
