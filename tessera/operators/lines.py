@@ -11,6 +11,7 @@ from tessera.functions import reductions as R
 from tessera.functions.canvas import Canvas
 from tessera.operators import segments as S
 from tessera.plans.aggregate import Grid, categorized, joined, reduce_pixels
+from tessera.sources.dealing import SHAPES, dealt
 
 
 def walk(segs: DataFrame, canvas: Canvas) -> DataFrame:
@@ -101,10 +102,12 @@ def _antialiased(segs: DataFrame, canvas: Canvas, agg: R.Reduction, width: float
         out = total / F.nullif(F.count(F.when(F.col("prev_aa") == 0, 1)), F.lit(0)) if how == "mean" else total
         return Grid(cover.groupBy(*pixel).agg(out.alias(name)), canvas, {name: agg.empty}, layers)
     inner = F.max(value * F.col("aa"))
+    if how == "max":
+        return Grid(cover.groupBy(*pixel).agg(inner.alias(name)), canvas, {name: agg.empty}, layers)
     rank = F.min(R.ORDER) if agg.ordered else F.lit(0)
     per = cover.groupBy(*pixel, *[c for c in line if c not in keys]).agg(inner.alias("_v"), rank.alias("_o"))
     outer = {
-        "sum": F.sum("_v"), "max": F.max("_v"), "min": F.min("_v"), "first": F.min_by("_v", "_o"), "last": F.max_by("_v", "_o"), "mean": F.avg("_v"),
+        "sum": F.sum("_v"), "min": F.min("_v"), "first": F.min_by("_v", "_o"), "last": F.max_by("_v", "_o"), "mean": F.avg("_v"),
     }[how]
     return Grid(per.groupBy(*pixel).agg(outer.alias(name)), canvas, {name: agg.empty}, layers)
 
@@ -148,6 +151,18 @@ def draw(segs: DataFrame, canvas: Canvas, agg: R.Reduction | None = None, line_w
     return reduce_pixels(walk(segs, canvas), canvas, agg)
 
 
+#: Pixels of wide lines that a task may hold at once, each with its line.
+HELD = 1_000_000
+
+
+def _dealt(source: DataFrame, canvas: Canvas, style: dict[str, object]) -> DataFrame:
+    """Rows that are lines, over all tasks; for wide lines all of a line in one task, so that its pixels needn't be shuffled."""
+    keys = [c for c in (R.ORDER, "line") if c in source.columns][:1]
+    if keys and (style.get("line_width") or style.get("antialias")):
+        return dealt(source, max(1, HELD // (8 * (canvas.plot_width + canvas.plot_height))), *keys)
+    return dealt(source, SHAPES)
+
+
 def line(source: DataFrame, canvas: Canvas, x: str | Sequence[str] | Sequence[float], y: str | Sequence[str] | Sequence[float], agg: R.Reduction | None = None,
          axis: int = 0, order: str | None = None, geometry: str | None = None, **style: object) -> Grid:
     """Lines in every layout.
@@ -159,6 +174,8 @@ def line(source: DataFrame, canvas: Canvas, x: str | Sequence[str] | Sequence[fl
     agg = agg or R.any()
     if order is not None:
         source = source.withColumn(R.ORDER, F.col(order).cast("long"))
+    if geometry is not None or axis == 1:
+        source = _dealt(source, canvas, style)
     if geometry is not None:
         if dict(source.dtypes)[geometry].startswith("array<array"):
             source = source.withColumn(geometry, F.explode(geometry))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import reductions as R
 from tessera.functions.canvas import Canvas
 from tessera.operators.areas import area
+from tessera.operators.lines import line
 from tessera.operators.polygons import polygons
 
 CANVAS = Canvas(12, 10, (0.0, 2.0), (0.0, 20.0))
@@ -51,3 +52,13 @@ def test_polygons_of_a_small_file_are_many_tasks(spark):  # noqa: ANN001, ANN201
     one = {(r["py"], r["px"]): r["value"] for r in polygons(rows.where("id < 14"), Canvas(12, 10, (0.0, 6.0), (0.0, 10.0)), "shape", R.count()).df.collect()}
     half = {(r["py"], r["px"]): r["value"] for r in polygons(rows.where("id < 28"), Canvas(12, 10, (0.0, 6.0), (0.0, 10.0)), "shape", R.count()).df.collect()}
     assert one and half == {k: 2 * v for k, v in one.items()}
+
+
+def test_pixels_of_wide_lines_are_not_shuffled_with_their_lines(spark):  # noqa: ANN001, ANN201
+    """A line's pixels are added up where the line is; only pixels are exchanged, and rows before."""
+    rows = spark.range(3000).selectExpr("id", "array(0D, 1D, 2D) as xs", "array(cast(id % 3 as double), cast(id % 5 as double), cast(id % 2 as double)) as ys", "cast(id % 7 + 1 as double) as v").coalesce(1)
+    canvas = Canvas(9, 9, (0.0, 2.0), (0.0, 4.0))
+    for agg in (R.min("v"), R.first("v"), R.max("v"), R.any(), R.where(R.max("v"))):
+        plan = _runs(line(rows, canvas, "xs", "ys", agg, axis=1, order="id", line_width=2.0).df)
+        dealt = re.findall(r"hashpartitioning\(([^)]*)", plan)
+        assert dealt and not [d for d in dealt if "py#" in d and R.ORDER in d]
