@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tessera.sources.durable import durable
 
@@ -29,9 +32,9 @@ RANGE_ROWS, MAX_RANGES = 200_000, 4096
 def neighbours(df: DataFrame, order: str, values: list[str], within: list[str] | None = None) -> DataFrame:
     """df with structs _prev, _next and _next2 of `values`: the rows around each one by ascending order, null beyond the ends.
 
-    With `within`, order counts within each of its groups, one window each. Without, all rows are one sequence: they
-    are cut into ranges of the order column, windows run within ranges, and rows at the ranges' ends (four a range)
-    get their neighbours from a table of just such rows. Order values should be unique.
+    With `within`, order counts within each of its groups; without, all rows are one sequence. Sequences of over RANGE_ROWS
+    rows are cut into ranges of the order column, windows run within ranges, and rows at the ranges' ends (four a range)
+    get their neighbours from a table of just such rows. Order values should be unique in a sequence.
     """
     row = F.struct(*[F.col(v) for v in values])
 
@@ -39,7 +42,7 @@ def neighbours(df: DataFrame, order: str, values: list[str], within: list[str] |
         return d.withColumn("_prev", F.lag(row).over(w)).withColumn("_next", F.lead(row).over(w)).withColumn("_next2", F.lead(row, 2).over(w))
 
     if within:
-        return around(df, Window.partitionBy(*within).orderBy(order))
+        return _around_within(df, order, within, around)
     key = F.col(order).cast("double")
     n = df.count()
     parts = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
@@ -56,3 +59,40 @@ def neighbours(df: DataFrame, order: str, values: list[str], within: list[str] |
     for c, here in (("_prev", F.col("_up") == 1), ("_next", F.col("_down") == 1), ("_next2", F.col("_down") <= 2)):
         joined = joined.withColumn(c, F.when(here, F.col(f"_e{c}")).otherwise(F.col(c)))
     return joined.drop("_b", "_up", "_down", "_o", "_e_prev", "_e_next", "_e_next2")
+
+
+def _around_within(df: DataFrame, order: str, within: list[str], around: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """neighbours() within groups: each group above RANGE_ROWS is cut into ranges of its own."""
+    spark, key = df.sparkSession, F.col(order).cast("double")
+    named = [f"_g{k}" for k in range(len(within))]
+    fields = df.select(*[F.col(c).alias(n) for c, n in zip(within, named)]).schema
+    sizes = {tuple(r)[:-1]: r["count"] for r in df.groupBy(*within).count().where(F.col("count") > RANGE_ROWS).collect()}
+    if not sizes:
+        return around(df, Window.partitionBy(*within).orderBy(order))
+    same = F.lit(True)
+    for c, n in zip(within, named):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    parts = {g: min(MAX_RANGES, -(-n // RANGE_ROWS)) for g, n in sizes.items()}
+    most = max(parts.values())
+    cuts = df.join(F.broadcast(spark.createDataFrame(list(sizes), fields)), same).groupBy(*named).agg(F.percentile_approx(key, [i / most for i in range(1, most)], 10_000).alias("q")).collect()
+    limits = []
+    for r in cuts:
+        *group, q = tuple(r)
+        limits.append((*group, sorted({q[i * most // parts[tuple(group)] - 1] for i in range(1, parts[tuple(group)])} if q else ())))
+    held = spark.createDataFrame(limits, StructType([*fields, StructField("_limits", ArrayType(DoubleType()))]))
+    tagged = df.join(F.broadcast(held), same, "left").withColumn("_b", F.coalesce(F.size(F.filter("_limits", lambda x: x < key)), F.lit(0)))
+    tagged = tagged.withColumn("_cut", F.col("_limits").isNotNull()).drop(*named, "_limits")
+    tagged = tagged.repartition(sum(parts.values()) + int(spark.conf.get("spark.sql.shuffle.partitions")), "_b", *within)  # a few ranges a task at most
+    w = Window.partitionBy("_b", *within).orderBy(order)
+    inner = around(tagged, w).withColumn("_up", F.row_number().over(w)).withColumn("_down", F.count("*").over(Window.partitionBy("_b", *within)) - F.col("_up") + 1)
+    edges = inner.where(F.col("_cut") & ((F.col("_up") <= 2) | (F.col("_down") <= 2)))
+    edges = edges.select(F.col(order).alias("_o"), *[F.col(c).alias(f"_h{c}") for c in within], *[c for c in df.columns if c not in within and c != order])
+    ends = around(edges.withColumns({c: F.col(f"_h{c}") for c in within} | {order: F.col("_o")}), Window.partitionBy(*[f"_h{c}" for c in within]).orderBy("_o"))
+    ends = ends.select("_o", *[F.col(f"_h{c}") for c in within], *[F.col(c).alias(f"_e{c}") for c in ("_prev", "_next", "_next2")])
+    on = F.col(order) == F.col("_o")
+    for c in within:
+        on = on & F.col(c).eqNullSafe(F.col(f"_h{c}"))
+    joined = inner.join(F.broadcast(ends), on, "left")  # four rows a range of RANGE_ROWS at most
+    for c, here in (("_prev", F.col("_up") == 1), ("_next", F.col("_down") == 1), ("_next2", F.col("_down") <= 2)):
+        joined = joined.withColumn(c, F.when(F.col("_cut") & here, F.col(f"_e{c}")).otherwise(F.col(c)))
+    return joined.drop("_b", "_cut", "_up", "_down", "_o", *[f"_h{c}" for c in within], "_e_prev", "_e_next", "_e_next2")

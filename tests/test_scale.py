@@ -12,6 +12,7 @@ from tessera.functions.canvas import Canvas
 from tessera.operators.areas import area
 from tessera.operators.lines import line
 from tessera.operators.polygons import polygons
+from tessera.sources import rowindex
 
 CANVAS = Canvas(12, 10, (0.0, 2.0), (0.0, 20.0))
 
@@ -62,3 +63,14 @@ def test_pixels_of_wide_lines_are_not_shuffled_with_their_lines(spark):  # noqa:
         plan = _runs(line(rows, canvas, "xs", "ys", agg, axis=1, order="id", line_width=2.0).df)
         dealt = re.findall(r"hashpartitioning\(([^)]*)", plan)
         assert dealt and not [d for d in dealt if "py#" in d and R.ORDER in d]
+
+
+def test_neighbours_within_large_groups_are_found_in_ranges(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """Large and small groups, one without a key, order with gaps: as by one window a group, without one task for a group."""
+    rows = spark.range(900).selectExpr("id * id % 7919 as o", "if(id % 4 = 3, null, if(id < 880, id % 4, id)) as g", "cast(id as double) as v").where("o % 5 <> 2").dropDuplicates(["o"]).repartition(5)
+    read = lambda df: {(r["g"], r["o"]): (r["v"], *[tuple(r[c]) if r[c] else None for c in ("_prev", "_next", "_next2")]) for r in df.collect()}
+    want = read(rowindex.neighbours(rows, "o", ["v"], ["g"]))
+    monkeypatch.setattr(rowindex, "RANGE_ROWS", 30)
+    cut = rowindex.neighbours(rows, "o", ["v"], ["g"])
+    assert cut.columns == [*rows.columns, "_prev", "_next", "_next2"]
+    assert read(cut) == want and re.search(r"hashpartitioning\(_b#\d+, g#", _runs(cut))
