@@ -71,7 +71,7 @@ def forceatlas2_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 10,
     best = k if k is not None else math.sqrt(1.0 / n)
     at = nodes if {"x", "y"} <= set(nodes.columns) else random_layout(nodes, seed)
     pos = durable(at.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    links = durable(adjacency(edges, weight=weight).where("a <> b"))
+    links = durable(adjacency(edges, weight=weight).where("a < b"))  # each pair once
     heat = 0.1
     cooling = heat / (iterations + 1)
     for _ in range(iterations):
@@ -80,7 +80,10 @@ def forceatlas2_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 10,
         dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
         dist = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(0.01))
         pull = F.log1p(dist) / dist if linlog else dist / F.lit(best)
-        drawn = links.join(a, "a").join(b, "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("w") * pull * dx).alias("gx"), F.sum(F.col("w") * pull * dy).alias("gy"), F.count("*").alias("deg"))
+        force = links.join(a, "a").join(b, "b").select("a", "b", (F.col("w") * pull * dx).alias("gx"), (F.col("w") * pull * dy).alias("gy"))
+        # rows lie by b already, so its sums need no exchange; both sums read the same joined rows
+        ends = [force.groupBy(F.col(c).alias("id")).agg(F.sum(sign * F.col("gx")).alias("gx"), F.sum(sign * F.col("gy")).alias("gy"), F.count("*").alias("deg")) for c, sign in (("a", 1.0), ("b", -1.0))]
+        drawn = ends[0].union(ends[1]).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.sum("deg").alias("deg"))
         both = pushed.join(drawn, "id", "left")
         hub = F.col("deg") + 1 if nohubs else F.lit(1.0)
         fx, fy = (F.col(f"f{c}") + F.coalesce(F.col(f"g{c}") / hub, F.lit(0.0)) for c in "xy")

@@ -126,3 +126,12 @@ def test_bundling_spreads_edges_of_one_file(spark, tmp_path):  # noqa: ANN001, A
     edges = spark.range(3000).selectExpr("id as edge_id", "id as source", "(id * 17 + 5) % 3000 as target").coalesce(1)
     out = graph.hammer_bundle(nodes, edges, iterations=1)
     assert out.rdd.getNumPartitions() > 1 and out.where("k = -1").count() == 3000
+
+
+def test_forces_hold_each_pair_once(spark, small, monkeypatch):  # noqa: ANN001, ANN201
+    held = []
+    monkeypatch.setattr(graph, "durable", lambda df: held.append(df) or df.localCheckpoint())
+    monkeypatch.setattr(graph, "forget", lambda df: None)
+    graph.forceatlas2_layout(small[0], small[1], iterations=0)
+    links = next(df for df in held if "w" in df.columns)
+    assert links.count() == len({frozenset(p) for p in small[3]})
